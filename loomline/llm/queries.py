@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from loomline.llm import mixing, quality_rules, simhash, token_files
+from loomline.llm import mixing, quality_rules, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
