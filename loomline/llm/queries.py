@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from loomline.llm import mixing, quality_rules, simhash, suffix_dedup, token_files
+from loomline.llm import bpe_tree, mixing, quality_rules, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_bpe_tree": bpe_tree.op2_bpe_tree,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_mix_sources": mixing.op5_mix_sources,
