@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from loomline.llm import bpe_tree, mixing, quality_rules, sentence_spans, simhash, suffix_dedup, token_files
+from loomline.llm import bpe_tree, mixing, quality_rules, sentence_spans, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op9_sentence_spans": sentence_spans.op9_sentence_spans,
 }
