@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import texts
-from loomline.llm.tokens import PieceEncoder
+from loomline.llm.tokens import PieceEncoder, load
 from loomline.session import scratch
 
 NULL_ID = -(2**63)
@@ -76,8 +76,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         with tempfile.TemporaryFile() as spool:
             for batch in batches:
                 if enc is None:
-                    enc = PieceEncoder(tokenizer)
-                    enc.width = width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+                    width = 2 if max(load(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+                    enc = PieceEncoder(tokenizer, width)
                     end = end_id.to_bytes(width, "little")
                 for k in range(0, batch.num_rows, 256):
                     some = batch.slice(k, 256)

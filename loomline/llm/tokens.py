@@ -9,6 +9,8 @@ ids are strung together; the result is the library's for the whole text.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 _CUT = re.compile(r" (?=\S)").split
@@ -27,23 +29,33 @@ def load(path: str):
 class PieceEncoder:
     """Text to ids as little-endian bytes, with a memo of pieces that is emptied when it holds `room` of them."""
 
-    def __init__(self, path: str, width: int = 2, spaced: bool = True, room: int = 400_000, long_piece: int = 256, long_encode=None):
+    def __init__(self, path: str, width: int = 2, spaced: bool = True, room: int = 600_000, long_piece: int = 256, long_encode=None):
         self.tok, self.width, self.spaced, self.room, self.long_piece = load(path), width, spaced, room, long_piece
         self.long_encode = long_encode or (lambda s: self.tok.encode(s, add_special_tokens=False).ids)
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {} if spaced else self.head
+        self.head, self.tail = _memos(path, width, spaced)
+        self.marks = {c: self.pack(self.tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
 
     def pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in memo]
-        short = [p for p in new if len(p) <= self.long_piece]
+    def _learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> list[str]:
+        """Adds the pieces that memo lacks; returns the long ones, which the caller drops again."""
+        new = pieces.difference(memo)
+        # a letter or digit and a mark behind it are never one token, so the mark can be taken off
+        marked = {p: p[:-1] for p in new if p[-1:] in self.marks and p[-2:-1].isalnum()}
+        need = [p for p in (new.difference(marked) | set(marked.values())).difference(memo)]
+        short = [p for p in need if len(p) <= self.long_piece]
         for p, e in zip(short, self.tok.encode_batch_fast([before + p for p in short], add_special_tokens=False)):
             memo[p] = self.pack(e.ids)
-        for p in new:
-            if len(p) > self.long_piece:
-                memo[p] = self.pack(self.long_encode(before + p))
+        long = [p for p in need if len(p) > self.long_piece]
+        for p in long:
+            memo[p] = self.pack(self.long_encode(before + p))
+        for p, stem in marked.items():
+            memo[p] = memo[stem] + self.marks[p[-1]]
+        return long + [p for p in marked if len(p) > self.long_piece]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.head) + len(self.tail) > self.room:
@@ -51,11 +63,17 @@ class PieceEncoder:
             self.tail.clear()
         cut = [_CUT(x) for x in batch]
         rest = [c[1:] for c in cut]
-        self._learn(self.head, {c[0] for c in cut}, "")
-        self._learn(self.tail, set().union(*rest), " " if self.spaced else "")
+        long = [(self.head, self._learn(self.head, {c[0] for c in cut}, "")), (self.tail, self._learn(self.tail, set().union(*rest), " " if self.spaced else ""))]
         tail = self.tail.__getitem__
         out = [self.head[c[0]] + b"".join(map(tail, r)) for c, r in zip(cut, rest)]
-        for memo in (self.head, self.tail):  # long pieces are rarely seen twice
-            for p in [p for p in memo if len(p) > self.long_piece]:
-                del memo[p]
+        for memo, pieces in long:  # rarely seen twice
+            for p in pieces:
+                memo.pop(p, None)
         return out
+
+
+@lru_cache(maxsize=8)
+def _memos(path: str, width: int, spaced: bool) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """A Python worker's memos, which outlast its tasks: of first pieces, and of those behind a space."""
+    head: dict[str, bytes] = {}
+    return head, {} if spaced else head
