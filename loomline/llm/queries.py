@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from loomline.llm import bpe_tree, mixing, quality_rules, recurrent_lm, sentence_spans, simhash, suffix_dedup, token_files, toxicity
+from loomline.llm import bpe_tree, chroma, mixing, quality_rules, recurrent_lm, sentence_spans, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_chroma": chroma.op8_chroma,
     "op9_sentence_spans": sentence_spans.op9_sentence_spans,
     "op10_recurrent_lm": recurrent_lm.op10_recurrent_lm,
 }
