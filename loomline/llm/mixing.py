@@ -12,9 +12,13 @@ may share their words in either order. Without any words every target is zero. W
 from __future__ import annotations
 
 import math
+import re
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm.common import WORD, if_small, read_documents
 from loomline.session import written
@@ -109,6 +113,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _portions(text: pa.Array, size: pa.Array, taken: pa.Array) -> pa.Array:
+    """The whole text as often as all its words are taken, and its first words for the rest."""
+    out = []
+    for x, n, t in zip(text.to_pylist(), size.to_pylist(), taken.to_pylist()):
+        whole, part = divmod(t, n) if n else (0, 0)
+        rows = [x] * whole
+        if part:
+            rows.append(x[: next(islice(re.finditer(WORD, x), part - 1, None)).end()])
+        out.append(rows)
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: a row per whole pass, and one with the first words where the last pass ends inside the text; rows without taken words go."""
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    named = lambda i, s, n: [F.coalesce(i.cast("string"), F.lit("")).alias("m_id"), F.coalesce(F.concat(F.lit("="), s), F.lit("")).alias("m_source"), n.alias("m_size")]
+    mixed = mix(docs, id_col, text_col, source_col).select(*named(F.col("doc_id"), F.col("source"), F.col("size")), "taken")
+    keys = ["m_id", "m_source", "m_size"]
+    one = Window.partitionBy(*keys)  # rows with equal id, source and size: told apart by a number
+    mixed = mixed.withColumn("m_k", F.row_number().over(one.orderBy("taken")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("m_text"), *named(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), size))
+    rows = rows.withColumn("m_k", F.row_number().over(one.orderBy(F.xxhash64("m_text"))))
+    rows = rows.join(mixed, [*keys, "m_k"]).where("taken > 0").withColumn("m_new", F.explode(_portions("m_text", "m_size", "taken")))
+    return rows.select(*[(F.col("m_new") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
