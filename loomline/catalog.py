@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from loomline.plans import graphs, relational, scalars, state  # noqa: F401
+from loomline.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "pricing_summary"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
