@@ -79,8 +79,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                     width = 2 if max(load(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                     enc = PieceEncoder(tokenizer, width)
                     end = end_id.to_bytes(width, "little")
-                for k in range(0, batch.num_rows, 256):
-                    some = batch.slice(k, 256)
+                for k in range(0, batch.num_rows, 512):
+                    some = batch.slice(k, 512)
                     ids += some["doc_id"].fill_null(NULL_ID).to_pylist()
                     for x in enc.encode(some["text"].to_pylist()):
                         spool.write(x + end)

@@ -8,12 +8,16 @@ ids are strung together; the result is the library's for the whole text.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 _CUT = re.compile(r" (?=\S)").split
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_ASCII_WORD = re.compile("[A-Za-z]+").fullmatch
 
 
 @lru_cache(maxsize=4)
@@ -26,11 +30,37 @@ def load(path: str):
     return tok
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet, by its rule: bytes that print stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+@lru_cache(maxsize=4)
+def _shortcut(path: str):
+    """(which pieces are one word, how the library's model reads them), for the two set-ups known to make a run of letters one token's span; else None.
+
+    Such a word can go to the library's BPE model without its pre-tokenizer, at half the cost.
+    """
+    conf = json.loads(load(path).to_str())
+    pre, norm, model = conf["pre_tokenizer"] or {}, conf["normalizer"], conf["model"]
+    if model["type"] != "BPE" or model.get("dropout") or any(t["content"].isalpha() for t in conf["added_tokens"]):
+        return None
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
+        letters = _byte_letters()
+        return _WORD, lambda p: p if p.isascii() and p != " " else "".join([letters[b] for b in p.encode()])
+    steps = [x["type"] for x in (norm or {}).get("normalizers", ())], [x["type"] for x in pre.get("pretokenizers", ())]
+    if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+        return _ASCII_WORD, str.lower
+    return None
+
+
 class PieceEncoder:
-    """Text to ids as little-endian bytes, with a memo of pieces that is emptied when it holds `room` of them."""
+    """Text to ids as little-endian bytes, with a memo of pieces that is halved when it holds `room` of them."""
 
     def __init__(self, path: str, width: int = 2, spaced: bool = True, room: int = 600_000, long_piece: int = 256, long_encode=None):
-        self.tok, self.width, self.spaced, self.room, self.long_piece = load(path), width, spaced, room, long_piece
+        self.path, self.tok, self.width, self.spaced, self.room, self.long_piece = path, load(path), width, spaced, room, long_piece
         self.long_encode = long_encode or (lambda s: self.tok.encode(s, add_special_tokens=False).ids)
         self.head, self.tail = _memos(path, width, spaced)
         self.marks = {c: self.pack(self.tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
@@ -48,6 +78,13 @@ class PieceEncoder:
         marked = {p: p[:-1] for p in new if p[-1:] in self.marks and p[-2:-1].isalnum()}
         need = [p for p in (new.difference(marked) | set(marked.values())).difference(memo)]
         short = [p for p in need if len(p) <= self.long_piece]
+        if shortcut := _shortcut(self.path):
+            one_word, read = shortcut
+            model, first = self.tok.model, read(before) if before else ""
+            for p in short:
+                if one_word(p):
+                    memo[p] = self.pack([t.id for t in model.tokenize(first + read(p))])
+            short = [p for p in short if p not in memo]
         for p, e in zip(short, self.tok.encode_batch_fast([before + p for p in short], add_special_tokens=False)):
             memo[p] = self.pack(e.ids)
         long = [p for p in need if len(p) > self.long_piece]
@@ -58,9 +95,11 @@ class PieceEncoder:
         return long + [p for p in marked if len(p) > self.long_piece]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        if len(self.head) + len(self.tail) > self.room:
-            self.head.clear()
-            self.tail.clear()
+        for memo in (self.head, self.tail):
+            if len(memo) > self.room:  # frequent pieces come first, so what came first is kept
+                kept = list(islice(memo.items(), self.room // 2))
+                memo.clear()
+                memo.update(kept)
         cut = [_CUT(x) for x in batch]
         rest = [c[1:] for c in cut]
         long = [(self.head, self._learn(self.head, {c[0] for c in cut}, "")), (self.tail, self._learn(self.tail, set().union(*rest), " " if self.spaced else ""))]

@@ -10,7 +10,7 @@ from loomline.llm.tokens import PieceEncoder, load
 from loomline.session import scratch
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
-ODD = ["", " ", "  a", "a  b", "a   b \n c", "x\n y", "x \n y", "x\n  y\t z", "don't  stop", "a  b", "a  b", "\x1c x\x1c y", "q <|endoftext|> r<|endoftext|>", "é́ e ́", "A" * 700 + " b", "A" * 700 + ".", "x. y, z,, 5. ½. _. ). ...", "². ́.", "Ünï  “q”\r\n日本語 x"]
+ODD = ["", " ", "  a", "a  b", "a   b \n c", "x\n y", "x \n y", "x\n  y\t z", "don't  stop", "a  b", "a  b", "\x1c x\x1c y", "q <|endoftext|> r<|endoftext|>", "é́ e ́", "A" * 700 + " b", "A" * 700 + ".", "x. y, z,, 5. ½. _. ). ...", "². ́.", "Straße ÀÉ ſt Ǆ ŉa ɏ ×a ÷b aªb Ångström İstanbul", "THE The the. don't I'LL x's", "Ünï  “q”\r\n日本語 x"]
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
