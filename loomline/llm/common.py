@@ -11,13 +11,25 @@ from loomline.session import table, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker at once: texts can be long, and a batch is held several times over.
+BATCH_ROWS = 512
+
+
+def lean_batches(df: DataFrame) -> DataFrame:
+    """df, with the session set to hand at most BATCH_ROWS rows at once to Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone, so that no other column's name can clash; a null text counts as empty."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return lean_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
 def row_key() -> Column:

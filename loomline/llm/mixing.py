@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import WORD, if_small, read_documents
+from loomline.llm.common import WORD, if_small, lean_batches, read_documents
 from loomline.session import written
 
 WEIGHTS, SHARE_PERCENT, MOST_EPOCHS, SEED = (5, 2, 1), 150, 2, "mix-1"
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sums run in two levels, over buckets of a source's stream and within each, so no task holds a whole source.
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))
+    rows = lean_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"))
     rows = written(rows, "mix-sizes")
     by = written(targets(rows), "mix-targets")
     seats = quotas(by, shards).groupBy("source").agg(F.sum(F.col("quota") * F.col("block")).alias("words"))
@@ -134,7 +134,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     keys = ["m_id", "m_source", "m_size"]
     one = Window.partitionBy(*keys)  # rows with equal id, source and size: told apart by a number
     mixed = mixed.withColumn("m_k", F.row_number().over(one.orderBy("taken")))
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("m_text"), *named(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), size))
+    rows = lean_batches(docs).select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("m_text"), *named(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), size))
     rows = rows.withColumn("m_k", F.row_number().over(one.orderBy(F.xxhash64("m_text"))))
     rows = rows.join(mixed, [*keys, "m_k"]).where("taken > 0").withColumn("m_new", F.explode(_portions("m_text", "m_size", "taken")))
     return rows.select(*[(F.col("m_new") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

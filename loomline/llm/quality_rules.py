@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import if_small, read_documents
+from loomline.llm.common import if_small, lean_batches, read_documents
 from loomline.session import written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -95,7 +95,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     Texts are measured once and only the measures are written out, so no text is shuffled.
     """
     m = base_rules(F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").alias("host"), m.alias("m"))
+    rows = lean_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").alias("host"), m.alias("m"))
     judged = written(rows.select("doc_id", "host", "m.*", failed(F.col("m")).alias("base_failed")), "quality")
     return with_verdicts(judged, host_verdicts(judged))
 
@@ -103,7 +103,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns. Texts are measured twice rather than shuffled."""
     own = docs.columns
-    packed = docs.select(F.struct("*").alias("row"), F.col(f"`{host_col}`").alias("host"), failed(base_rules(F.col(f"`{text_col}`"))).alias("base_failed"))
+    packed = lean_batches(docs).select(F.struct("*").alias("row"), F.col(f"`{host_col}`").alias("host"), failed(base_rules(F.col(f"`{text_col}`"))).alias("base_failed"))
     hosts = written(host_verdicts(packed.select("host", "base_failed")), "hosts")
     return with_verdicts(packed, hosts).where("kept").select(*[F.col("row")[c].alias(c) for c in own])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import read_documents, row_key
+from loomline.llm.common import lean_batches, read_documents, row_key
 
 SPAN, MIN_WORDS, MAX_WORDS = 3, 20, 20
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -114,7 +114,7 @@ def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
 
 def remove_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a struct column `repeats`: n_sentences, n_removed, removed (their numbers) and kept, the text without them."""
-    packed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tkey", row_key())
+    packed = lean_batches(docs).select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tkey", row_key())
     gone = repeated_sentences(packed.select("id", "tkey", "text")).groupBy("id", "tkey").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     gone = gone.withColumnsRenamed({"id": "g_id", "tkey": "g_tkey"})
     joined = packed.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("tkey") == F.col("g_tkey")), "left")

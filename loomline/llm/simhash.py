@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import components, read_documents
+from loomline.llm.common import components, lean_batches, read_documents
 from loomline.session import written
 
 #: Words of a shingle and the seed of its hash; most differing bits of a link.
@@ -178,7 +178,7 @@ def link(fps: DataFrame, most: int = MOST_BITS, leaf: int = LEAF, step: int = ST
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
     """A row per input row: doc_id, fp (signed) and component_id, the least doc_id that links reach."""
-    fps = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_of(F.col(f"`{text_col}`")).alias("fp")), "fps")
+    fps = written(lean_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_of(F.col(f"`{text_col}`")).alias("fp")), "fps")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
     found = components(link(nodes.select("fp"), most), "fp-links")
     labels = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -197,7 +197,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     picked = picked.where("component_id is not null").unionByName(nulls)
     named = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("k_id")
     picked = picked.select(named(F.col("component_id")), F.col("fp").alias("k_fp"))
-    rows = docs.select(F.struct("*").alias("row"), named(F.col(f"`{id_col}`")), fingerprint_of(F.col(f"`{text_col}`")).alias("k_fp"))
+    rows = lean_batches(docs).select(F.struct("*").alias("row"), named(F.col(f"`{id_col}`")), fingerprint_of(F.col(f"`{text_col}`")).alias("k_fp"))
     rows = rows.join(picked, ["k_id", "k_fp"], "left_semi")  # the grouping below keeps the join's partitioning
     return rows.groupBy("k_id", "k_fp").agg(F.first("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in own])
 

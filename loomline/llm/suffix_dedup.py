@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import read_documents, row_key
+from loomline.llm.common import lean_batches, read_documents, row_key
 from loomline.llm.suffix_sort import suffix_array
 from loomline.session import written
 
@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = kinds.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram")
     work = kinds.join(shared, "gram").select("r.*").groupBy("id", "tkey").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("runs"))
     key = [F.col("id").eqNullSafe(F.col("w_id")), F.col("tkey") == F.col("w_tkey")]
-    with_text = docs.select("id", "tkey", "text").join(work.withColumnsRenamed({"id": "w_id", "tkey": "w_tkey"}), key).select("id", "tkey", "text", "runs")
+    with_text = lean_batches(docs).select("id", "tkey", "text").join(work.withColumnsRenamed({"id": "w_id", "tkey": "w_tkey"}), key).select("id", "tkey", "text", "runs")
     cell_schema = "id long, tkey long, base long, c1 long, c2 long, around binary, first int, last int"
     cells = written(with_text.mapInArrow(_cells, cell_schema), "cells")
 
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are shuffled twice: to those of their runs that need cells, and to the spans found.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tkey", row_key())
+    packed = lean_batches(docs).select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tkey", row_key())
     spans = repeated_spans(packed.select("id", "text", "tkey")).groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("spans"))
     spans = spans.withColumnsRenamed({"id": "s_id", "tkey": "s_tkey"})
     joined = packed.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("tkey") == F.col("s_tkey")), "left")
