@@ -60,6 +60,8 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_latest_stream(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:00:05", 2.0), (2, "2024-01-01 00:00:01", 9.0), (1, "2024-01-01 00:00:03", 3.0)]
     spark.createDataFrame(rows, "key long, at string, value double").select("key", F.col("at").cast("timestamp"), "value").write.parquet(str(tmp_path / "in"))
+    # timeouts by the clock would call for batches without data for ever
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = spark.readStream.schema("key long, at timestamp, value double").parquet(str(tmp_path / "in"))
     q = keyed.stream_latest(stream, "key", "at", "value").writeStream.outputMode("update").format("memory").queryName("latest").trigger(availableNow=True).start()
     q.awaitTermination(60)
