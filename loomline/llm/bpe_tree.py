@@ -108,7 +108,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def short(batches):
         tree = TreeEncoder(tokenizer)
-        enc = PieceEncoder(tokenizer, width=4, spaced=False, long_encode=lambda s: tree.encode(s)[0])
+        enc = PieceEncoder(tokenizer, width=4, spaced=False, room=300_000, long_encode=lambda s: tree.encode(s)[0])
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
