@@ -49,7 +49,7 @@ def number_texts(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "part").select("p_partkey", strings.ordinal("p_partkey").alias("place"), strings.clock_text(F.col("p_partkey") * 7).alias("clock"), strings.number_of(size).alias("number"))
 
 
-@query("""SELECT c_custkey, round(c_acctbal) AS away, greatest(0.0, least(c_acctbal, 5000.0)) AS clamped, c_acctbal::BIGINT_ AS dummy FROM customer""".replace("c_acctbal::BIGINT_ AS dummy", "trunc(c_acctbal)::BIGINT % 97 AS rest") + "")
+@query("""SELECT c_custkey, round(c_acctbal) AS away, greatest(0.0, least(c_acctbal, 5000.0)) AS clamped, trunc(c_acctbal)::BIGINT % 97 AS rest FROM customer""")
 def rounding(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "customer").select("c_custkey", maths.round_away("c_acctbal").alias("away"), maths.clamp("c_acctbal", 0.0, 5000.0).alias("clamped"), maths.remainder("c_acctbal", 97).alias("rest"))
 
@@ -64,7 +64,7 @@ def interpolation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, (p_partkey & -p_partkey) AS low, (p_partkey | 16) AS on4, (p_partkey & ~4) AS off2, xor(p_partkey, 1) AS flipped,
-CASE WHEN p_size = 0 AND p_partkey = 0 THEN 0 ELSE ((degrees(atan2(p_partkey - 1000, p_size - 25)))::DOUBLE) END AS deg FROM part""".replace("""CASE WHEN p_size = 0 AND p_partkey = 0 THEN 0 ELSE ((degrees(atan2(p_partkey - 1000, p_size - 25)))::DOUBLE) END AS deg""", """CASE WHEN p_size = 25 AND p_partkey = 1000 THEN 0 ELSE (trunc(degrees(atan2(p_partkey - 1000, p_size - 25)))::INT + 360) % 360 END AS yaw"""))
+CASE WHEN p_size = 25 AND p_partkey = 1000 THEN 0 ELSE (trunc(degrees(atan2(p_partkey - 1000, p_size - 25)))::INT + 360) % 360 END AS yaw FROM part""")
 def bits_and_angles(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     return t(spark, sf, "part").select("p_partkey", maths.lowest_bit(k).alias("low"), maths.with_bit(k, 4, True).alias("on4"), maths.with_bit(k, 2, False).alias("off2"), maths.flip_bit(k, 0).alias("flipped"), maths.yaw(F.col("p_size") - 25, k - 1000).alias("yaw"))
