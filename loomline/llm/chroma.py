@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.llm.common import lean_batches
 from loomline.session import table, written
 
 RATE, FRAME, HOP, WINDOW = 8000, 2048, 512, 16
@@ -146,7 +147,7 @@ def search(prints: DataFrame, queries: Column) -> DataFrame:
 
     queries tells which rows are queries, by id. Best is the least bit error rate, then the least query id.
     """
-    spark = prints.sparkSession
+    spark = lean_batches(prints).sparkSession  # audio is large, so few rows at once
     keyed = written(prints.select("id", "codes", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(1), F.col("codes")).alias("h2")), "prints")
     named = F.coalesce("id", F.lit(2**63 - 1))
     classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.min(F.when(queries, F.col("id"))).alias("query"), F.min_by("codes", named).alias("codes"))
