@@ -6,36 +6,40 @@ lost executor costs one round. Only counts come back to the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.session import written
 
 
-def bfs(edges: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, level) of every node reached from sources (column node) over edges (src, dst)."""
+def bfs(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, level) of every node reached from sources (column node) over edges (src, dst); raises where one is beyond level `most`."""
     seen = front = written(sources.select("node", F.lit(0).cast("long").alias("level")).distinct(), "bfs")
-    for level in range(1, most + 1):
+    for level in count(1):
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = written(step.join(seen, "node", "left_anti").withColumn("level", F.lit(level).cast("long")), "bfs")
         if front.limit(1).count() == 0:
-            break
+            return seen
+        if most is not None and level > most:
+            raise ValueError(f"the graph has nodes beyond level {most}")
         seen = written(seen.unionByName(front), "bfs")
-    return seen
 
 
-def shortest_paths(edges: DataFrame, source, most: int = 1000) -> DataFrame:
-    """(node, dist) from one source over edges (src, dst, weight) with weights of 0 or more."""
+def shortest_paths(edges: DataFrame, source, most: int | None = None) -> DataFrame:
+    """(node, dist) from one source over edges (src, dst, weight) with weights of 0 or more; raises where a shortest path has over `most` edges."""
     spark = edges.sparkSession
     dist = front = written(spark.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).cast("double").alias("dist")), "sssp")
-    for _ in range(most):
+    for length in count(1):
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("new")).groupBy("node").agg(F.min("new").alias("new"))
         front = step.join(dist, "node", "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("node", F.col("new").alias("dist"))
         front = written(front, "sssp")
         if front.limit(1).count() == 0:
-            break
+            return dist
+        if most is not None and length > most:
+            raise ValueError(f"a shortest path has over {most} edges")
         dist = written(dist.unionByName(front).groupBy("node").agg(F.min("dist").alias("dist")), "sssp")
-    return dist
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
