@@ -1,6 +1,6 @@
 import pytest
 
-from loomline.operators import graphs
+from loomline.operators import graphs, joins
 
 
 def test_walks_end_or_raise(spark):
@@ -13,3 +13,10 @@ def test_walks_end_or_raise(spark):
         graphs.bfs(edges, source, most=3)
     with pytest.raises(ValueError):
         graphs.shortest_paths(edges, 0, most=3)
+
+
+def test_nearest_takes_any_number_of_queries(spark):
+    points = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(5)], "id long, v array<double>")
+    queries = spark.range(5003).selectExpr("id", "array(double(id % 5), 1.0D) AS v")
+    got = {(r.query, r.id, r.dist2) for r in joins.nearest(queries, points, 1).collect()}
+    assert got == {(q, q % 5, 1.0) for q in range(5003)}
