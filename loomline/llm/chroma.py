@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,8 +152,9 @@ def search(prints: DataFrame, queries: Column) -> DataFrame:
     named = F.coalesce("id", F.lit(2**63 - 1))
     classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.min(F.when(queries, F.col("id"))).alias("query"), F.min_by("codes", named).alias("codes"))
     classes = written(classes, "print-classes")
-    asked = classes.where(F.col("query").isNotNull() & (F.size("codes") > 0)).select("query", "codes", F.row_number().over(_by_query()).alias("k"))
-    asked = written(asked.withColumn("block", F.floor((F.col("k") - 1) / BLOCK)), "print-queries")
+    asked = classes.where(F.col("query").isNotNull() & (F.size("codes") > 0))
+    numbers = numbered(asked.select("query", "h1", "h2")).select("h1", "h2", F.floor(F.col("k") / BLOCK).alias("block"))
+    asked = written(asked.join(numbers, ["h1", "h2"]).select("query", "codes", "block"), "print-queries")
     found = None
     for b in range(-(-asked.count() // BLOCK)):
         own = [(r["query"], r.codes) for r in asked.where(F.col("block") == b).collect()]  # BLOCK rows at most
@@ -184,10 +185,19 @@ def search(prints: DataFrame, queries: Column) -> DataFrame:
     return rows.select("id", "n_codes", "class_id", F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), F.col("best.query").alias("best_query"), F.col("best.offset").alias("best_offset"), F.col("best.errors").alias("bit_errors"), F.col("best.bits").alias("bits"))
 
 
-def _by_query():
-    from pyspark.sql import Window
-
-    return Window.orderBy("query")  # the stated queries' classes alone
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with their place k, from 0, by all columns: counts of range partitions, a prefix sum, and places within each."""
+    own = rows.columns
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *own).withColumn("part", F.spark_partition_id()), "print-numbers")
+    counts = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row per partition
+    before, starts = 0, []
+    for part, n in counts:
+        starts.append((part, before))
+        before += n
+    starts = rows.sparkSession.createDataFrame(starts, "part int, start long")
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*own))
+    return dealt.withColumn("place", within).join(F.broadcast(starts), "part").select(*own, (F.col("start") + F.col("place") - 1).alias("k"))
 
 
 def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:

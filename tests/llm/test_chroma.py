@@ -56,3 +56,11 @@ def test_search_against_all_pairs(spark, monkeypatch):
 def test_melody_of_odd_vectors(spark):
     df = spark.createDataFrame([(1, [0.5, None, float("nan")]), (2, None), (3, [])], "id long, v array<float>")
     assert [len(r.a) for r in df.select(chroma.melody_of(F.col("v")).alias("a")).collect()] == [3 * 2 * chroma.HOP, 0, 0]
+
+
+def test_queries_are_numbered_in_parts(spark):
+    rows = spark.range(100).selectExpr("id * 7 % 101 AS query", "id AS h1", "-id AS h2")
+    got = chroma.numbered(rows)
+    assert [r.k for r in got.orderBy("query").collect()] == list(range(100))
+    assert "SinglePartition" not in got._jdf.queryExecution().toString()
+    assert chroma.numbered(rows.where("query < 0")).count() == 0
