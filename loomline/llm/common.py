@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,36 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return lean_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def merged(batches, column: str, size: int = 1 << 24):
+    """Record batches of about `size` bytes in a text column, joined from small ones and cut from large ones; a row stays whole."""
+    held, total = [], 0
+    for batch in batches:
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, ends[at] + size - total, side="right")) - 1
+            if to <= at and held:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+                continue
+            to = max(to, at + 1)
+            held.append(batch.slice(at, to - at))
+            total += int(ends[to] - ends[at])
+            at = to
+    if held:
+        yield pa.concat_batches(held)
+
+
+def word_codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of texts, A-Z in lower case: for each word its text's place and its number among the distinct words, and those words as bytes."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    flat = lists.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(real).dictionary_encode()
+    own = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return own[real.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 def row_key() -> Column:
     """Tells the rows of one doc_id apart by their text; equal rows share it, which every operator that joins on it allows for."""
     return F.xxhash64("text")

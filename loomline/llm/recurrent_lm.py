@@ -2,73 +2,44 @@
 
 The alphabet of the net is the end of a text, the VOCAB most frequent words, and TAILS tails: all other words,
 dealt by their last two bytes; a tail's word is then weighed by its smoothed count. The output softmax is
-factored by class: frequent symbols, then less frequent ones, CLASS to a class. A fixed
-share of the training documents is read once, in ROUNDS of parts of the corpus: each task trains on its own documents by truncated
-backpropagation over windows of STEPS tokens, carrying the state from window to window until a document ends,
-and the tasks' parameters are averaged by Spark, weighted by tokens, before the next round.
-
-Counts cover all training documents. The TOP most frequent words' counts are broadcast; other words meet
-theirs in a join. Null and empty texts are an end alone. Rows with equal id and text score alike. Without
-training documents counts are zero, and base_score and score are those of one unseen symbol per token.
+factored by class: frequent symbols, then less frequent ones, CLASS to a class. All training documents are read
+once, in ROUNDS of parts of the corpus: each task trains on its own documents by truncated
+backpropagation over windows of STEPS tokens or more, carrying the state from window to window until a document ends,
+and the tasks' parameters are averaged by Spark, weighted by tokens, before the next round. Parts are dealt by a
+hash, but tasks as the tables lie in files, so scores of another layout differ a little; base scores do not.
+
+Counts cover all training documents. Texts are cut into words twice: to count them, and to write each document's
+symbols, which the rounds and the scoring read. The TOP most frequent words' counts are broadcast; other words meet
+theirs in a join. Null and empty texts are an end alone. Repeated rows give a row each, and score alike. Rows
+without an id are never held out, so they are learned from. Without training documents counts are zero, and
+base_score and score are those of one unseen symbol per token. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import fold, read_documents, row_key, texts
+from loomline.llm.common import fold, merged, read_documents, texts, word_codes
 from loomline.session import written
 
-VOCAB, TAILS, CLASS, TOP = 800, 64, 30, 65_536
+VOCAB, TAILS, CLASS, TOP = 800, 64, 30, 524_288
 HIDDEN, STEPS, STREAMS, RATE, SEED = 16, 16, 384, 0.05, 1
-#: Words that a task's dictionaries remember.
-MEMO = 500_000
-#: Tokens that a task lays out at once.
+#: Tokens that a task lays out at once; a longer text is laid out whole.
 GROUP = 4_000_000
-#: Sixteenths of the training documents in each round. Counts are of all; the net's weights are fit on this share, which grows with the input.
-ROUNDS = (range(1), range(1, 3), range(3, 6))
+#: Sixteenths of the training documents in each round.
+ROUNDS = (range(1), range(1, 3), range(3, 7), range(7, 16))
 FOLD = 1
 
 
-def words(text: str) -> list[bytes]:
-    """A-Z in lower case, cut at ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-class Symbols(dict):
-    """Word to the number of its symbol: 0 is the end, then frequent words, then tails."""
-
-    def __init__(self, frequent: list[bytes]):
-        super().__init__((w, k + 1) for k, w in enumerate(frequent))
-        self.first_tail = len(frequent) + 1
-
-    def __missing__(self, word: bytes) -> int:
-        out = self.first_tail + zlib.crc32(word[-2:]) % TAILS
-        if len(self) < MEMO:
-            self[word] = out
-        return out
-
-    def of(self, text: str) -> np.ndarray:
-        own = words(text)
-        return np.array([*map(self.__getitem__, own), 0], np.int32)
-
-
-class Logs(dict):
-    """Frequent words to the logarithm of their smoothed count, nan for all others."""
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) < MEMO:
-            self[word] = float("nan")
-        return float("nan")
-
-
 def lay_out(docs: list[np.ndarray], streams: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Documents end to end in parallel streams, longest first onto the shortest: symbols (step, stream), -1 where none, and each one's (stream, step)."""
     streams = max(1, min(streams, len(docs)))
@@ -81,316 +52,381 @@ def lay_out(docs: list[np.ndarray], streams: int) -> tuple[np.ndarray, list[tupl
     heap.sort(reverse=True)  # longest stream first, so that those still running are the first ones
     column = {s: k for k, (_, s) in enumerate(heap)}
     at = [(column[s], t) for s, t in at]
-    y = np.full((heap[0][0], streams), -1, np.int32)
+    y = np.full((heap[0][0], streams), -1, np.int16)
     for d, (s, t) in enumerate(at):
         y[t : t + len(docs[d]), s] = docs[d]
     return y, at
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 class Net:
-    """Parameters by name, as float32, and how they run; frequencies set the output biases, so an untrained net scores by frequency."""
-
-    SHAPES = ("emb", "w", "u", "un", "b", "wc", "bc", "ww", "bw")
+    """Parameters as one vector with views by name, and how they run. Symbols are numbered by falling frequency, so that a class is CLASS
+    neighbours; frequencies set the output biases, so an untrained net scores by frequency. States and gates are (unit, stream) blocks."""
 
-    def __init__(self, freq: np.ndarray, hidden: int = HIDDEN, seed: int = SEED):
+    def __init__(self, freq: np.ndarray, end: int = 0, hidden: int = HIDDEN, seed: int = SEED, dtype=np.float32):
         n, rnd = len(freq), np.random.default_rng(seed)
-        rank = np.empty(n, np.int64)
-        rank[np.argsort(-freq, kind="stable")] = np.arange(n)
-        self.cls = rank // CLASS
-        self.members = [np.flatnonzero(self.cls == c) for c in range(self.cls.max() + 1)]
-        self.slot = np.empty(n, np.int64)
-        for m in self.members:
-            self.slot[m] = np.arange(len(m))
-        f = np.asarray(freq, np.float64) + 0.5
-        by = np.bincount(self.cls, f)
-        small = lambda *s: rnd.normal(0, 0.15, s).astype(np.float32)
-        self.p = {"emb": small(n, hidden), "w": small(hidden, 3 * hidden), "u": small(hidden, 2 * hidden), "un": small(hidden, hidden), "b": np.zeros(3 * hidden, np.float32), "wc": small(hidden, len(by)) * 0, "bc": np.log(by / by.sum()).astype(np.float32), "ww": small(n, hidden) * 0, "bw": np.log(f / by[self.cls]).astype(np.float32)}
-        self.hidden = hidden
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
+        classes = -(-n // CLASS)
+        f = np.zeros(classes * CLASS)
+        f[:n] = np.asarray(freq, np.float64) + 0.5
+        f = f.reshape(classes, CLASS)
+        by = f.sum(1)
+        shapes = {"emb": (n, hidden), "w": (hidden, 3 * hidden), "u": (hidden, 3 * hidden), "b": (3 * hidden,), "wc": (hidden + 1, classes), "ww": (classes, hidden + 1, CLASS)}
+        self.n, self.end, self.hidden, self.shapes = n, end, hidden, shapes
+        self.load(np.zeros(sum(int(np.prod(s)) for s in shapes.values()), dtype))
+        for k in ("emb", "w", "u"):
+            self.p[k][:] = rnd.normal(0, 0.15, shapes[k])
+        self.p["wc"][-1] = np.log(by / by.sum())
+        with np.errstate(divide="ignore"):
+            self.p["ww"][:, -1] = np.maximum(np.log(f / by[:, None]), -1e9)  # places without a symbol never have any weight
 
     def load(self, flat: np.ndarray) -> "Net":
-        at = 0
-        for k in self.SHAPES:
-            n = self.p[k].size
-            self.p[k] = np.asarray(flat[at : at + n], np.float32).reshape(self.p[k].shape)
-            at += n
+        self.flat, self.p = flat, self.views(flat)
         return self
 
-    def states(self, x, fresh, h, keep: list | None = None):
-        """The state before each symbol is told, over a window; x: symbols before, fresh: where a document starts."""
+    def copy(self) -> "Net":
+        out = object.__new__(Net)
+        out.__dict__ |= self.__dict__
+        return out.load(self.flat.copy())
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "p"}  # views would be copies
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.p = self.views(self.flat)
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k, s in self.shapes.items():
+            size = int(np.prod(s))
+            out[k] = flat[at : at + size].reshape(s)
+            at += size
+        return out
+
+    def states(self, x, fresh, h, kept: dict | None = None):
+        """The state before each symbol is told, as (step, unit, stream), over a window; x: symbols before, fresh: where a document starts."""
         p, H = self.p, self.hidden
-        table = p["emb"] @ p["w"] + p["b"]
-        out = np.empty((len(x), len(h), H), np.float32)
-        for t in range(len(x)):
-            h = h * ~fresh[t][:, None]
-            g = table[x[t]]
-            zr = _sigmoid(g[:, : 2 * H] + h @ p["u"])
-            z, r = zr[:, :H], zr[:, H:]
-            rh = r * h
-            n = np.tanh(g[:, 2 * H :] + rh @ p["un"])
-            if keep is not None:
-                keep.append((h, z, r, rh, n))
-            h = h + z * (n - h)
-            out[t] = h
-        return out, h
+        steps, streams = x.shape
+        gates = np.ascontiguousarray((p["emb"] @ p["w"] + p["b"])[x].transpose(0, 2, 1))
+        u, new = np.ascontiguousarray(p["u"].T), fresh.any(1)
+        own = {k: np.empty((steps, m * H, streams), gates.dtype) for k, m in (("h0", 1), ("a", 3), ("zr", 2), ("n", 1), ("h", 1))}
+        for t in range(steps):
+            h0, a, zr, n, out = (own[k][t] for k in ("h0", "a", "zr", "n", "h"))
+            h0[:] = h
+            if new[t]:
+                h0[:, fresh[t]] = 0
+            np.matmul(u, h0, out=a)
+            np.add(gates[t, : 2 * H], a[: 2 * H], out=zr)
+            np.negative(zr, out=zr)
+            np.exp(np.minimum(zr, 60, out=zr), out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[H:], a[2 * H :], out=n)
+            n += gates[t, 2 * H :]
+            np.tanh(n, out=n)
+            np.subtract(n, h0, out=out)
+            out *= zr[:H]
+            out += h0
+            h = out
+        if kept is not None:
+            kept |= own
+        return own["h"], h
 
     def log_probs(self, hs, y, grads: dict | None = None):
-        """Natural log probability of each symbol y from its state; with grads, adds the output's gradients and returns those of the states."""
-        p = self.p
-        logits = hs @ p["wc"] + p["bc"]
-        e = np.exp(np.minimum(logits, 60, out=logits))  # 60: far above any trained value, far below overflow
-        total = e.sum(1, keepdims=True)
-        c, rows = self.cls[y], np.arange(len(y))
-        logp = logits[rows, c] - np.log(total[:, 0])
-        back = None
-        if grads is not None:
-            e /= total
-            e[rows, c] -= 1
-            grads["wc"] += hs.T @ e
-            grads["bc"] += e.sum(0)
-            back = e @ p["wc"].T
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(len(self.members) + 1))
-        for k, m in enumerate(self.members):
-            own = order[ends[k] : ends[k + 1]]
-            if not len(own) or len(m) == 1:
-                continue
-            own_h, slot = hs[own], self.slot[y[own]]
-            logits = own_h @ p["ww"][m].T + p["bw"][m]
-            e = np.exp(np.minimum(logits, 60, out=logits))
-            total = e.sum(1)
-            each = np.arange(len(own))
-            logp[own] += logits[each, slot] - np.log(total)
+        """Natural log probability of each symbol y from its state, a row each; with grads, sets the output's gradients and returns those of the states."""
+        p, N, H = self.p, len(y), self.hidden
+        c = (y // CLASS).astype(np.int16)
+        order = np.argsort(c, kind="stable")  # by class, so that a class is a slice
+        one = np.ones((N, H + 1), hs.dtype)  # the last column meets the biases
+        one[:, :H] = hs[order]
+        y, c = y[order], c[order]
+        ends = np.searchsorted(c, np.arange(len(p["wc"][0]) + 1, dtype=np.int16)).tolist()
+        own = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+        rows, places = np.arange(N), y % CLASS
+        outer, inner = one @ p["wc"], np.empty((N, CLASS), hs.dtype)
+        for k, s in own:
+            np.matmul(one[s], p["ww"][k], out=inner[s])
+        logp, back = outer[rows, c] + inner[rows, places], None
+        for logits in (outer, inner):
+            np.exp(np.minimum(logits, 60, out=logits), out=logits)  # 60: far above any trained value, far below overflow
+            total = logits @ np.ones(logits.shape[1], hs.dtype)
+            logp -= np.log(total)
             if grads is not None:
-                e /= total[:, None]
-                e[each, slot] -= 1
-                grads["ww"][m] += e.T @ own_h
-                grads["bw"][m] += e.sum(0)
-                back[own] += e @ p["ww"][m]
-        return logp, back
-
-    def train(self, y: np.ndarray, sums: dict) -> None:
+                logits *= (1 / total)[:, None]
+        if grads is not None:
+            outer[rows, c] -= 1
+            inner[rows, places] -= 1
+            np.matmul(one.T, outer, out=grads["wc"])
+            part = outer @ p["wc"][:H].T
+            for k, s in own:
+                np.matmul(one[s].T, inner[s], out=grads["ww"][k])
+                part[s] += inner[s] @ p["ww"][k, :H].T
+            back = np.empty_like(part)
+            back[order] = part
+        out = np.empty_like(logp)
+        out[order] = logp
+        return out, back
+
+    def windows(self, y: np.ndarray, steps: int):
+        """Windows over laid-out streams: (first step, symbols before, where documents start, symbols, which are symbols); with fewer streams, more steps."""
+        before = np.vstack([np.full((1, y.shape[1]), self.end, y.dtype), np.maximum(y[:-1], 0)])
+        fresh = np.vstack([np.ones((1, y.shape[1]), bool), (y[:-1] == self.end) | (y[:-1] < 0)])
+        t = 0
+        while t < len(y):
+            some = int((y[t] >= 0).sum())  # streams that still run are the first ones
+            to = t + min(4 * steps, max(steps, steps * y.shape[1] // max(1, 2 * some)))
+            yield t, before[t:to, :some], fresh[t:to, :some], y[t:to, :some], y[t:to, :some].ravel() >= 0
+            t = to
+
+    def gradients(self, x, fresh, y, live, h, flat: np.ndarray):
+        """Fills flat with the gradients of a window's negated log probabilities; returns the state behind the window."""
+        p, H, kept, flat[:] = self.p, self.hidden, {}, 0
+        g = self.views(flat)
+        hs, h = self.states(x, fresh, h, kept)
+        steps, _, streams = hs.shape
+        _, back = self.log_probs(hs.transpose(0, 2, 1).reshape(-1, H)[live], y.ravel()[live], g)
+        dhs = np.zeros((steps * streams, H), hs.dtype)
+        dhs[live] = back
+        dhs = np.ascontiguousarray(dhs.reshape(steps, streams, H).transpose(0, 2, 1))
+        h0, n, z, r, a = kept["h0"], kept["n"], kept["zr"][:, :H], kept["zr"][:, H:], kept["a"][:, 2 * H :]
+        stay = 1 - z
+        by_n, by_z, by_r = z * (1 - n * n), (n - h0) * z * stay, a * r * (1 - r)
+        d, dn = np.empty((steps, 3 * H, streams), hs.dtype), np.empty_like(n)  # of the gates, and of what r lets through
+        u1, u2, new = np.ascontiguousarray(p["u"][:, : 2 * H]), np.ascontiguousarray(p["u"][:, 2 * H :]), fresh.any(1)
+        dh = np.zeros((H, streams), hs.dtype)
+        for t in range(steps - 1, -1, -1):
+            dh += dhs[t]
+            np.multiply(dh, by_z[t], out=d[t, :H])
+            np.multiply(dh, by_n[t], out=d[t, 2 * H :])
+            np.multiply(d[t, 2 * H :], by_r[t], out=d[t, H : 2 * H])
+            np.multiply(d[t, 2 * H :], r[t], out=dn[t])
+            dh *= stay[t]
+            dh += u1 @ d[t, : 2 * H]
+            dh += u2 @ dn[t]
+            if new[t]:
+                dh[:, fresh[t]] = 0
+        g["u"][:, : 2 * H] = np.matmul(h0, d[:, : 2 * H].transpose(0, 2, 1)).sum(0)
+        g["u"][:, 2 * H :] = np.matmul(h0, dn.transpose(0, 2, 1)).sum(0)
+        ids = x.ravel()
+        order = np.argsort(ids, kind="stable")
+        spots, starts = np.unique(ids[order], return_index=True)
+        rows = np.zeros((self.n, 3 * H), hs.dtype)
+        rows[spots] = np.add.reduceat(d.transpose(0, 2, 1).reshape(-1, 3 * H)[order], starts, axis=0)
+        rows.sum(0, out=g["b"])
+        np.matmul(p["emb"].T, rows, out=g["w"])
+        np.matmul(rows, p["w"].T, out=g["emb"])
+        return h
+
+    def train(self, y: np.ndarray, sums: np.ndarray) -> None:
         """One pass over laid-out streams; sums: Adagrad's sums of squares, kept by the caller."""
-        p, H = self.p, self.hidden
-        streams = y.shape[1]
-        before = np.vstack([np.zeros((1, streams), np.int32), np.maximum(y[:-1], 0)])
-        fresh = np.vstack([np.ones((1, streams), bool), y[:-1] <= 0])
-        h = np.zeros((streams, H), np.float32)
-        for t0 in range(0, len(y), STEPS):
-            some = int((y[t0] >= 0).sum())  # streams that still run
-            x, f, yy, h, streams = before[t0 : t0 + STEPS, :some], fresh[t0 : t0 + STEPS, :some], y[t0 : t0 + STEPS, :some], h[:some], some
-            steps, kept = len(x), []
-            live = yy.ravel() >= 0
-            hs, h = self.states(x, f, h, kept)
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            _, back = self.log_probs(hs.reshape(-1, H)[live], yy.ravel()[live], g)
-            dhs = np.zeros((steps * streams, H), np.float32)
-            dhs[live] = back
-            dhs = dhs.reshape(steps, streams, H)
-            dx = np.empty((steps, streams, 3 * H), np.float32)
-            dh = np.zeros((streams, H), np.float32)
-            for t in range(steps - 1, -1, -1):
-                dh = dh + dhs[t]
-                h0, z, r, rh, n = kept[t]
-                dn = dh * z * (1 - n * n)
-                dz = dh * (n - h0) * z * (1 - z)
-                drh = dn @ p["un"].T
-                dr = drh * h0 * r * (1 - r)
-                d2 = np.concatenate([dz, dr], 1)
-                dx[t, :, : 2 * H], dx[t, :, 2 * H :] = d2, dn
-                g["u"] += h0.T @ d2
-                g["un"] += rh.T @ dn
-                dh = (dh * (1 - z) + drh * r + d2 @ p["u"].T) * ~f[t][:, None]
-            flat, ids = dx.reshape(-1, 3 * H), x.ravel()
-            g["b"] += flat.sum(0)
-            g["w"] += p["emb"][ids].T @ flat
-            order = np.argsort(ids, kind="stable")
-            spots, starts = np.unique(ids[order], return_index=True)
-            g["emb"][spots] = np.add.reduceat((flat @ p["w"].T)[order], starts, axis=0)
-            size = max(1, live.sum())
-            for k, v in g.items():
-                v /= np.float32(size**0.5)
-                sums[k] += v * v
-                p[k] -= RATE * v / np.sqrt(sums[k])
+        h, g = np.zeros((self.hidden, y.shape[1]), self.flat.dtype), np.empty_like(self.flat)
+        for _, x, fresh, yy, live in self.windows(y, STEPS):
+            h = self.gradients(x, fresh, yy, live, h[:, : x.shape[1]], g)
+            g /= g.dtype.type(max(1, live.sum()) ** 0.5)
+            sums += g * g
+            g *= RATE
+            g /= np.sqrt(sums)
+            self.flat -= g
 
     def score(self, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
         """The natural log probability of each document's symbols, the state carried through all of it."""
         y, at = lay_out(docs, STREAMS)
-        streams = y.shape[1]
-        before = np.vstack([np.zeros((1, streams), np.int32), np.maximum(y[:-1], 0)])
-        fresh = np.vstack([np.ones((1, streams), bool), y[:-1] <= 0])
-        h, logp = np.zeros((streams, self.hidden), np.float32), np.zeros(y.shape, np.float32)
-        for t in range(0, len(y), window):
-            some = int((y[t] >= 0).sum())  # streams that still run
-            hs, h = self.states(before[t : t + window, :some], fresh[t : t + window, :some], h[:some])
-            yy = y[t : t + window, :some].ravel()
-            live = yy >= 0
-            part = np.zeros(len(yy), np.float32)
-            part[live] = self.log_probs(hs.reshape(-1, self.hidden)[live], yy[live])[0]
-            logp[t : t + window, :some] = part.reshape(-1, some)
+        h, logp = np.zeros((self.hidden, y.shape[1]), self.flat.dtype), np.zeros(y.shape, np.float32)
+        for t, x, fresh, yy, live in self.windows(y, window):
+            hs, h = self.states(x, fresh, h[:, : x.shape[1]])
+            part = np.zeros(yy.size, np.float32)
+            part[live] = self.log_probs(hs.transpose(0, 2, 1).reshape(-1, self.hidden)[live], yy.ravel()[live])[0]
+            logp[t : t + len(x), : x.shape[1]] = part.reshape(x.shape)
         return np.array([logp[t : t + len(d), s].sum(dtype=np.float64) for d, (s, t) in zip(docs, at)])
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """(word, c) over rows' texts; each task hands on a word once or a few times."""
+    """(word, c) over rows' texts, A-Z in lower case; each task hands on a word once per few megabytes."""
 
     def count(batches):
-        c: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                c.update(words(text))
-            if len(c) > 500_000:
-                yield pa.RecordBatch.from_pydict({"word": pa.array(c.keys(), pa.binary()), "c": pa.array(c.values(), pa.int64())})
-                c.clear()
-        if c:
-            yield pa.RecordBatch.from_pydict({"word": pa.array(c.keys(), pa.binary()), "c": pa.array(c.values(), pa.int64())})
+        for batch in merged(batches, "text"):
+            _, code, words = word_codes(batch["text"])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(code, minlength=len(words)), pa.int64())], names=["word", "c"])
 
     return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """Words and counts, descending, from the count down to which there are at most `most` words: the driver gets no other words."""
-    sizes = sorted(((r.c, r.n) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """Words and counts, by falling count and then by word, from the count down to which there are at most `most` words: the driver gets no other words.
+
+    Counts are told apart to a thirty-second of an octave, so that the histogram of counts has some 2,000 rows at any size.
+    """
+    octave = F.floor(F.log2("c") * 32)
+    sizes = sorted(((r.o, r.n) for r in counts.groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, held = None, 0
-    for c, n in sizes:  # distinct counts: about the square root of twice the tokens, at most
+    for o, n in sizes:
         held += n
         if held > most:
             break
-        least = c
-    if least is None:
-        return []
-    return sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+        least = o
+    return counts.where(octave >= least if least is not None else F.lit(False)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+
 
+def _added(batches):
+    """One row: the sums of tokens and of p."""
+    tokens, total = 0, None
+    for batch in batches:
+        for n, p in zip(batch["tokens"].to_pylist(), batch["p"]):
+            own = p.values.to_numpy()
+            tokens, total = tokens + n, own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"tokens": pa.array([tokens], pa.int64()), "p": pa.array([total], pa.list_(pa.float64()))})
 
-def fit(train: DataFrame, frequent: list[bytes], freq: np.ndarray) -> Net:
-    """Trains on rows (text, part), part 0..15, round by round. The driver holds the parameters: under 100,000 numbers."""
+
+def fit(train: DataFrame, net: Net) -> Net:
+    """Trains on rows (symbols, part), part 0..15, round by round. The driver holds the parameters: under 100,000 numbers."""
     spark = train.sparkSession
-    net = Net(freq)
+    schema = "tokens long, p array<double>"
+    few = max(1, isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for parts in ROUNDS:
-        shared = spark.sparkContext.broadcast((net, frequent))
+        shared = spark.sparkContext.broadcast(net)
 
         def run(batches, shared=shared):
-            start, frequent_ = shared.value
-            own, symbols = Net(freq_of(start)).load(start.flat().copy()), Symbols(frequent_)
-            own.cls, own.members, own.slot = start.cls, start.members, start.slot
-            sums = {k: np.full_like(v, 1e-2) for k, v in own.p.items()}
-            docs, held, total = [], 0, 0
-            for batch in batches:
-                for text in batch["text"].to_pylist():
-                    docs.append(symbols.of(text))
-                    held += len(docs[-1])
-                    if held > GROUP:
-                        own.train(lay_out(docs, STREAMS)[0], sums)
-                        docs, held, total = [], 0, total + held
-            if docs:
+            own = shared.value.copy()
+            sums, total = np.full_like(own.flat, 1e-2), 0
+            for docs in grouped(batches):
                 own.train(lay_out(docs, STREAMS)[0], sums)
-                total += held
+                total += sum(map(len, docs))
             if total:
-                yield pa.RecordBatch.from_pydict({"tokens": pa.array([total], pa.int64()), "p": pa.array([own.flat()], pa.list_(pa.float32()))})
-
-        made = train.where(F.col("part").isin(list(parts))).select("text").mapInArrow(run, "tokens long, p array<float>")
-        mean = made.select("tokens", F.posexplode("p").alias("i", "v")).groupBy("i").agg((F.sum(F.col("tokens") * F.col("v").cast("double")) / F.sum("tokens")).alias("v"))
-        got = mean.toArrow()
-        if got.num_rows:
-            flat = np.empty(got.num_rows)
-            flat[got["i"].to_numpy()] = got["v"].to_numpy()
-            net.load(flat)
+                yield pa.RecordBatch.from_pydict({"tokens": pa.array([total], pa.int64()), "p": pa.array([own.flat.astype(np.float64) * total], pa.list_(pa.float64()))})
+
+        made = train.where(F.col("part").isin(list(parts))).select("symbols").mapInArrow(run, schema)
+        got = made.repartition(few).mapInArrow(_added, schema).repartition(1).mapInArrow(_added, schema).first()  # a tree, so that no task meets all
+        if got:
+            net = net.copy().load((np.array(got.p) / got.tokens).astype(np.float32))
         shared.unpersist()
     return net
 
 
-def freq_of(net: Net) -> np.ndarray:
-    return np.zeros(len(net.cls))
+def grouped(batches):
+    """Lists of documents' symbols, of about GROUP tokens each."""
+    docs, held = [], 0
+    for batch in batches:
+        for x in batch["symbols"]:
+            docs.append(np.frombuffer(x.as_buffer(), "<i2"))
+            held += len(docs[-1])
+            if held > GROUP:
+                yield docs
+                docs, held = [], 0
+    if docs:
+        yield docs
+
+
+class Counts:
+    """What scoring and encoding need of the counts: sizes, the TOP words with theirs, and the alphabet by falling frequency."""
+
+    def __init__(self, counts: DataFrame, n_docs: int):
+        distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+        self.n_docs, self.V, self.N = n_docs, distinct + (n_docs > 0), total + n_docs
+        top = most_frequent(counts, TOP)
+        self.words, c = pa.concat_arrays([pa.array([], pa.binary()), *(x.cast(pa.binary()) for x in top["word"].chunks)]), top["c"].to_numpy().astype(np.float64)
+        self.logs, self.frequent = np.log10(c + 0.5), min(VOCAB, len(c))
+        rest = counts
+        if self.frequent:
+            least, word = int(c[self.frequent - 1]), self.words[self.frequent - 1].as_py()
+            rest = counts.where((F.col("c") < least) | ((F.col("c") == least) & (F.col("word") > F.lit(word))))
+        tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS))
+        tails = {r.t: (r.c, r.n) for r in rest.groupBy(tail.alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
+        tail_c, tail_n = (np.array([tails.get(t, (0, 0))[k] for t in range(TAILS)], np.float64) for k in (0, 1))
+        self.log_tail = np.log10(tail_c + 0.5 * (tail_n + 1))
+        freq = np.concatenate([[n_docs], c[: self.frequent], tail_c])
+        order = np.argsort(-freq, kind="stable")
+        self.freq, self.rank = freq[order], np.argsort(order).astype(np.int16)  # raw: the end, frequent words, tails
+        self.base = float(np.log10(self.N + 0.5 * (self.V + 1)))
+        self.end_log = float(np.log10(n_docs + 0.5))
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: symbol, whether among the TOP, its log smoothed count or 0, and its weight inside its tail or 0."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        seen = at >= 0
+        logs = np.where(seen, self.logs[np.where(seen, at, 0)] if len(self.logs) else 0.0, 0.0)
+        ends = pc.binary_slice(words, -2).dictionary_encode()
+        own = np.array([zlib.crc32(x) % TAILS for x in ends.dictionary.to_pylist()], np.int64)
+        tail = own[ends.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        inside = seen & (at < self.frequent)
+        symbol = self.rank[np.where(inside, at + 1, 1 + self.frequent + tail)]
+        return symbol, seen, logs, np.where(inside, 0.0, logs - self.log_tail[tail])
+
+
+_ENCODED = "row long, doc_id long, train boolean, part int, symbols binary, n_tokens long, known long, base double, inner double, rare array<struct<word:binary,n:int>>"
+
+
+def encoded(rows: DataFrame, counts: Counts) -> DataFrame:
+    """From rows (doc_id, text, train, part): each with a number of its own, its symbols, what the TOP words give, and the other words."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)  # TOP words at most
+
+    def encode(batches):
+        know, next_row = shared.value, TaskContext.get().partitionId() << 40
+        for batch in merged(batches, "text"):
+            n = batch.num_rows
+            own, code, words = word_codes(batch["text"])
+            symbol, seen, logs, inner = know.of(words)
+            sizes = np.bincount(own, minlength=n)
+            ends = np.cumsum(sizes + 1)
+            flat = np.full(int(ends[-1]), know.rank[0], "<i2")
+            flat[np.arange(len(code)) + own] = symbol[code]
+            symbols = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends]) * 2), pa.py_buffer(flat)]).cast(pa.binary())
+            summed = lambda x: np.bincount(own, x[code], minlength=n)  # noqa: E731, B023
+            rare, times = np.unique(own[~seen[code]] * max(1, len(words)) + code[~seen[code]], return_counts=True)
+            cuts = np.searchsorted(rare // max(1, len(words)), np.arange(n + 1)).astype(np.int32)
+            others = pa.StructArray.from_arrays([words.take(pa.array(rare % max(1, len(words)))), pa.array(times, pa.int32())], ["word", "n"])
+            known = summed(seen).astype(np.int64) + int(know.n_docs > 0)
+            base = summed(logs) + know.end_log - (sizes + 1) * know.base
+            cols = [pa.array(np.arange(next_row, next_row + n)), batch["doc_id"], batch["train"], batch["part"], symbols, pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(summed(inner)), pa.ListArray.from_arrays(pa.array(cuts), others)]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "train", "part", "symbols", "n_tokens", "known", "base", "inner", "rare"])
+            next_row += n
+
+    return rows.select("doc_id", "text", "train", "part").mapInArrow(encode, _ENCODED)
+
+
+def in_fold() -> Column:
+    """Whether a row is held out; rows without an id never are."""
+    return F.coalesce(fold() == FOLD, F.lit(False))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row, learned from the rows outside fold FOLD."""
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col).withColumn("tkey", row_key())
-    train = rows.where(F.coalesce(fold() != FOLD, F.lit(True)))
+    rows = texts(docs, id_col, text_col).withColumn("train", ~in_fold())
+    train = rows.where("train")
     counts = written(count_words(train), "lm-counts")
-    n_docs = train.count()
-    V, N = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    V, N = V + (n_docs > 0), N + n_docs
-    top = most_frequent(counts, TOP)
-    frequent = [w for w, _ in top[:VOCAB]]
-    tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS))
-    least = top[len(frequent) - 1] if frequent else None
-    rest = counts if least is None else counts.where((F.col("c") < least[1]) | ((F.col("c") == least[1]) & (F.col("word") > F.lit(least[0]))))
-    tails = {r.t: (r.c, r.n) for r in rest.groupBy(tail.alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
-    tail_c = np.array([tails.get(t, (0, 0))[0] for t in range(TAILS)], np.float64)
-    tail_n = np.array([tails.get(t, (0, 0))[1] for t in range(TAILS)], np.float64)
-    log_tail = np.log10(tail_c + 0.5 * (tail_n + 1))
-    freq = np.concatenate([[n_docs], [c for _, c in top[:VOCAB]], tail_c])
-    net = fit(train.withColumn("part", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(16))), frequent, freq)
-
-    known = {w: float(np.log10(c + 0.5)) for w, c in top}
-    shared = spark.sparkContext.broadcast((net, frequent, known))  # bounded by TOP words and the parameters
-    base_z, end_log = float(np.log10(N + 0.5 * (V + 1))), float(np.log10(n_docs + 0.5))
-
-    def rare(batches):
-        _, _, common = shared.value
-        for batch in batches:
-            ids, keys, ws, ns = [], [], [], []
-            for i, key, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "tkey", "text"))):
-                own = Counter([w for w in words(text) if w not in common]).items()
-                if own:
-                    ids += [i] * (len(own) + 1)
-                    keys += [key] * (len(own) + 1)
-                    ws += [None, *(w for w, _ in own)]  # null: one per row, so that equal rows can be told apart
-                    ns += [1, *(n for _, n in own)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "tkey": pa.array(keys, pa.int64()), "word": pa.array(ws, pa.binary()), "n": pa.array(ns, pa.int32())})
+    know = Counts(counts, train.count())
+    part = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(16)).cast("int")
+    told = written(encoded(rows.withColumn("part", part), know), "lm-symbols")
+    net = fit(told.where("train").select("symbols", "part"), Net(know.freq, int(know.rank[0])))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches):
-        own_net, frequent_, common = shared.value
-        symbols, logs_of = Symbols(frequent_), Logs(common)
-        docs_, out, held = [], [], 0
+        rows_, docs_, held = [], [], 0
 
         def flush():
-            logs = own_net.score(docs_) / np.log(10)
-            cols = list(zip(*[(*o[:6], o[6] + x) for o, x in zip(out, logs.tolist())]))
-            names = ["doc_id", "tkey", "n_tokens", "known", "base", "rare", "net"]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k in ("base", "net") else pa.int64()) for k, c in zip(names, cols)], names=names)
+            logs = pa.array(shared.value.score(docs_) / np.log(10))
+            return pa.RecordBatch.from_arrays([*pa.Table.from_batches(rows_).combine_chunks().to_batches()[0].columns, logs], names=[*own, "net"])
 
+        own = ["row", "doc_id", "n_tokens", "known", "base", "inner"]
         for batch in batches:
-            for i, key, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "tkey", "text"))):
-                own = words(text)
-                s = np.array([*map(symbols.__getitem__, own), 0], np.int32)
-                logs = np.array([*map(logs_of.__getitem__, own)], np.float64)
-                seen = ~np.isnan(logs)
-                n_seen = int(seen.sum())
-                n_known, n_rare = n_seen + int(n_docs > 0), len(own) - n_seen
-                base = end_log + float(logs[seen].sum())
-                inner = float(logs[seen & (s[:-1] >= symbols.first_tail)].sum())
-                tails_ = s[s >= symbols.first_tail] - symbols.first_tail
-                inner -= float(log_tail[tails_].sum())
-                docs_.append(s)
-                out.append((i, key, len(s), n_known, base - len(s) * base_z, n_rare, inner))
-                held += len(s)
-                if held > GROUP:
-                    yield flush()
-                    docs_, out, held = [], [], 0
+            rows_.append(batch.select(own))
+            docs_ += [np.frombuffer(x.as_buffer(), "<i2") for x in batch["symbols"]]
+            held += sum(map(len, docs_[-batch.num_rows :]))
+            if held > GROUP:
+                yield flush()
+                rows_, docs_, held = [], [], 0
         if docs_:
             yield flush()
 
-    scored = rows.mapInArrow(score, "doc_id long, tkey long, n_tokens long, known long, base double, rare long, net double")
-    found = rows.mapInArrow(rare, "doc_id long, tkey long, word binary, n int").join(counts, "word", "left")
+    scored = told.drop("train", "part", "rare").mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, inner double, net double")
     n, c = F.col("n"), F.col("c")
-    word = F.col("word").isNotNull()
-    sums = found.groupBy("doc_id", "tkey").agg(F.sum(F.when(word, n * F.log10(F.coalesce(c, F.lit(0)) + 0.5))).alias("logs"), F.sum(F.when(word & c.isNotNull(), n)).alias("more"), F.count(F.when(~word, 1)).alias("rows"))
-    sums = sums.select(F.col("doc_id").alias("s_id"), F.col("tkey").alias("s_key"), (F.col("logs") / F.col("rows")).alias("logs"), (F.coalesce("more", F.lit(0)) / F.col("rows")).cast("long").alias("more"))
-    both = scored.join(sums, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tkey") == F.col("s_key")), "left")
+    found = told.select("row", F.inline("rare")).join(counts, "word", "left")
+    sums = found.groupBy(F.col("row").alias("s_row")).agg(F.sum(n * F.log10(F.coalesce(c, F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(c.isNotNull(), n)).alias("more"))
+    both = scored.join(sums, F.col("row") == F.col("s_row"), "left")
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return both.select("doc_id", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("net") + logs).alias("score"))
+    return both.select("doc_id", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(know.N).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("net") + F.col("inner") + logs).alias("score"))
 
 
 def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     out = score_texts(read_documents(spark, sf_dir))
-    return out.select("doc_id", (fold() == FOLD).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", in_fold().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
