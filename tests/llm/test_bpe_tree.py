@@ -1,11 +1,13 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tests.llm.helpers import documents, edge_rows
 from tests.llm.test_token_files import ODD
 
-from loomline.llm.bpe_tree import TreeEncoder, encode_texts
+from loomline.llm.bpe_tree import LEAF, TreeEncoder, encode_texts
 from loomline.llm.tokens import load
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -28,12 +30,26 @@ def unsplit(rnd, n, kind):
 def test_tree_is_the_librarys_encoding(kind, path):
     rnd = random.Random(3)
     tree = TreeEncoder(path, leaf=40, window=16)
-    for n in (30, 41, 97, 500, 1500):
-        text = unsplit(rnd, n, kind)
-        ids, starts, ends = tree.encode(text)
+    rows = [unsplit(rnd, n, kind) for n in (30, 0, 41, 97, 500, 1500)]
+    for text, (ids, starts) in zip(rows, tree.encode(pa.array(rows)), strict=True):
         want = load(path).encode(text, add_special_tokens=False)
-        assert ids == want.ids
-        assert list(zip(starts, ends)) == want.offsets
+        assert ids.tolist() == want.ids
+        assert starts.tolist() == [len(text[:a].encode()) for a, _ in want.offsets]
+    assert tree.joins > 50
+
+
+def test_documents_come_through_the_tree():
+    """Almost all of the documents that are longer than a leaf are joined from halves, in the given table."""
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    tree, joined, over = TreeEncoder(WORD), 0, 0
+    for x in texts:
+        before = tree.joins
+        [(ids, _)] = tree.encode(pa.array([x]))
+        assert ids.tolist() == load(WORD).encode(x, add_special_tokens=False).ids
+        over += len(x.encode()) > LEAF
+        joined += tree.joins > before
+    assert over > 100 and joined == over
+    assert tree.redone < tree.joins / 20
 
 
 def test_rows(spark):
