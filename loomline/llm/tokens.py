@@ -85,7 +85,7 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Texts to ids, with a memo of pieces that is halved when it holds `room` of them; with places, also where each token starts, in bytes (of the character that it starts in)."""
 
-    def __init__(self, path: str, places: bool = False, room: int = 1_000_000, long_piece: int = 256):
+    def __init__(self, path: str, places: bool = False, room: int = 600_000, long_piece: int = 256):
         self.path, self.tok, self.places, self.room, self.long_piece = path, load(path), places, room, long_piece
         self.memo, self.marks = _memo(path, places), _marks(path)
 
