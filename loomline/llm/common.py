@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import table, written
+from loomline.session import Scratch, table, written
 
 #: A word: a run of characters other than space, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,10 +84,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node in any edge; component is the least node reached.
 
     Alternates large-star and small-star steps; each round is written to the shared folder, so that
-    lost executors cost one round. Minima are aggregated before the shuffle, and the joins that follow
+    lost executors cost one round; the round before is deleted then. Minima are aggregated before the shuffle, and the joins that follow
     are plain equi-joins, which Spark splits where a hub is hot. The driver sees two numbers a round.
     """
-    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
+    old = Scratch(edges.sparkSession)
+    links = old.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
     seen = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -96,10 +97,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        links = written(stars, label)
+        new = Scratch(edges.sparkSession)
+        links = new.written(stars, label)
+        old.drop()
+        old = new
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
     roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), label)
+    old.drop()
+    return out

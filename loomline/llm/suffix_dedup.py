@@ -1,6 +1,6 @@
-"""Suffix-array dedup: remove every byte covered by a string of LENGTH bytes that also starts elsewhere.
+"""Suffix-array dedup: remove every byte covered by a string of `length` bytes that also starts elsewhere.
 
-A string of LENGTH bytes is a window. The least GRAM-byte string in a window, by hash and then the leftmost,
+A string of `length` bytes is a window, LENGTH unless a caller sets another. The least GRAM-byte string in a window, by hash and then the leftmost,
 is its anchor, so equal windows have equal anchors at equal places, and windows meet by what they hold:
 
 1. Neighbouring windows with one anchor form a run. A run whose bytes are another run's consists of repeats.
@@ -15,8 +15,9 @@ windows of such cores are then also counted across tasks, by their bytes. Equal
 counted before they are dealt, so many copies of a text cost as much as two.
 
 Texts are UTF-8 bytes, whole, and a null text is empty. Matches never cross documents, and repeated rows
-are documents of their own: each repeats the other. Texts under LENGTH bytes hold no window. Ids may be
-null or shared. Empty tables give no rows. Runs and cores are compared by 128-bit digests (XXH3).
+are documents of their own: each repeats the other. Texts under `length` bytes hold no window. Ids may be
+null or shared. Empty tables give no rows. Runs are compared by two 64-bit digests, of the anchor and of the whole,
+and cores by a 128-bit one (XXH3). Intermediate tables are deleted when the spans are written.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from loomline.llm.common import lean_batches, read_documents, row_key
 from loomline.llm.suffix_sort import suffix_array
-from loomline.session import written
+from loomline.session import Scratch, written
 
 LENGTH, GRAM, CELL = 400, 24, 32
 SIDE = CELL - 1
@@ -51,12 +52,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_LIFT, _DROP = (_powers(b, PIECE + LENGTH + 1) for b in (_ODD, pow(_ODD, -1, 2**64)))
+_LIFT, _DROP = (_powers(b, 2 * PIECE) for b in (_ODD, pow(_ODD, -1, 2**64)))
 
 
-def _anchors(data: np.ndarray) -> np.ndarray:
+def _anchors(data: np.ndarray, length: int) -> np.ndarray:
     """For each window start, the position of its anchor."""
-    n, width = len(data), LENGTH - GRAM + 1
+    n, width = len(data), length - GRAM + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _DROP[:n], out=sums[1:])
     grams = (sums[GRAM:] - sums[:-GRAM]) * _LIFT[: n - GRAM + 1] * np.uint64(_ODD)
@@ -66,7 +67,7 @@ def _anchors(data: np.ndarray) -> np.ndarray:
     tiles = np.concatenate([least, np.full(pad, 2**64 - 1, np.uint64)]).reshape(-1, width)
     left = np.minimum.accumulate(tiles, axis=1).ravel()
     right = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - LENGTH + 1
+    windows = n - length + 1
     return (np.minimum(right[:windows], left[width - 1 : width - 1 + windows]) & np.uint64(2**31 - 1)).astype(np.int64)
 
 
@@ -75,67 +76,76 @@ def _digest(x: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _runs(batches):
-    """Rows (id, tkey, p, lo, hi, gram, u1, u2): a run of windows lo..hi with its anchor p, all in bytes of the text."""
+def _runs(length: int):
+    """Rows (id, tkey, at, gram, code): a run of windows by its anchor p and how far before it they start, packed into at, all in bytes of the text."""
 
     def flush(some):
         data = np.frombuffer(b"".join(x for _, _, x in some), np.uint8)
         ends = np.cumsum([len(x) for _, _, x in some])
         starts = ends - [len(x) for _, _, x in some]
-        if len(data) < LENGTH:
+        if len(data) < length:
             return None
-        anchor = _anchors(data)
-        own = np.repeat(np.arange(len(some)), [max(0, len(x) - LENGTH + 1) for _, _, x in some])
-        at = np.concatenate([np.arange(s, e - LENGTH + 1) for s, e in zip(starts, ends)]) if len(own) else own
+        anchor = _anchors(data, length)
+        own = np.repeat(np.arange(len(some)), [max(0, len(x) - length + 1) for _, _, x in some])
+        at = np.concatenate([np.arange(s, e - length + 1) for s, e in zip(starts, ends)]) if len(own) else own
         if not len(at):
             return None
         new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor[at]) != 0) | (np.diff(own) != 0)]))
         lo, hi, who, p = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1], own[new], anchor[at[new]]
         raw = data.tobytes()
-        codes = np.array([_digest(raw[a : b + LENGTH]) for a, b in zip(lo.tolist(), hi.tolist())], np.int64)
-        gram = [xxhash.xxh3_64_intdigest(raw[x : x + GRAM]) - 2**63 for x in p.tolist()]
+        code = np.array([xxhash.xxh3_64_intdigest(raw[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
+        gram = np.array([xxhash.xxh3_64_intdigest(raw[x : x + GRAM]) for x in p.tolist()], np.uint64).view(np.int64)
         from_start = np.array([k for _, k, _ in some])[who] - starts[who]
         ids, keys = zip(*(i for i, _, _ in some))
         pick = pa.array(who)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pick), pa.array(keys, pa.int64()).take(pick), pa.array(p + from_start), pa.array(lo + from_start), pa.array(hi + from_start), pa.array(gram, pa.int64()), pa.array(codes[:, 0]), pa.array(codes[:, 1])], names=["id", "tkey", "p", "lo", "hi", "gram", "u1", "u2"])
-
-    some, held = [], 0
-    for batch in batches:
-        for i, key, text in zip(*(batch[c].to_pylist() for c in ("id", "tkey", "text"))):
-            raw = text.encode("utf-8", "surrogatepass")
-            for k in range(0, max(1, len(raw) - LENGTH + 1), PIECE // 2):
-                piece = raw[k : k + PIECE // 2 + LENGTH - 1]
-                if held + len(piece) > PIECE and some:
-                    if (out := flush(some)) is not None:
-                        yield out
-                    some, held = [], 0
-                if len(piece) >= LENGTH:
-                    some.append(((i, key), k, piece))
-                    held += len(piece)
-    if some and (out := flush(some)) is not None:
-        yield out
-
-
-def _cells(batches):
+        packed = ((p + from_start) << 32) | ((p - lo) << 16) | (p - hi)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pick), pa.array(keys, pa.int64()).take(pick), pa.array(packed), pa.array(gram), pa.array(code)], names=["id", "tkey", "at", "gram", "code"])
+
+    def run(batches):
+        some, held = [], 0
+        for batch in batches:
+            for i, key, text in zip(*(batch[c].to_pylist() for c in ("id", "tkey", "text"))):
+                raw = text.encode("utf-8", "surrogatepass")
+                for k in range(0, max(1, len(raw) - length + 1), PIECE // 2):
+                    piece = raw[k : k + PIECE // 2 + length - 1]
+                    if held + len(piece) > PIECE and some:
+                        if (out := flush(some)) is not None:
+                            yield out
+                        some, held = [], 0
+                    if len(piece) >= length:
+                        some.append(((i, key), k, piece))
+                        held += len(piece)
+        if some and (out := flush(some)) is not None:
+            yield out
+
+    return run
+
+
+def _cells(length: int):
     """Rows (id, tkey, base, c1, c2, around, first, last): cell of the windows base..base + CELL - 1, of which first..last lie in the text."""
-    for batch in batches:
-        out = []
-        for i, key, text, runs in zip(*(batch[c].to_pylist() for c in ("id", "tkey", "text", "runs"))):
-            raw, seen = text.encode("utf-8", "surrogatepass"), set()
-            for r in runs:
-                for c in range((r["p"] - r["hi"]) // CELL, (r["p"] - r["lo"]) // CELL + 1):
-                    base = r["p"] - c * CELL - SIDE
-                    if base not in seen:
-                        seen.add(base)
-                        core = _digest(raw[base + SIDE : base + LENGTH])
-                        left, right = raw[max(0, base) : base + SIDE], raw[base + LENGTH : base + LENGTH + SIDE]
-                        around = left.rjust(SIDE, b"\0") + right.ljust(SIDE, b"\0")
-                        out.append((i, key, base, *core, around, max(0, -base), min(SIDE, len(raw) - LENGTH - base)))
-            if len(out) > 20_000:
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, key, text, runs in zip(*(batch[c].to_pylist() for c in ("id", "tkey", "text", "runs"))):
+                raw, seen = text.encode("utf-8", "surrogatepass"), set()
+                for at in runs:
+                    p = at >> 32
+                    for c in range((at & 0xFFFF) // CELL, (at >> 16 & 0xFFFF) // CELL + 1):
+                        base = p - c * CELL - SIDE
+                        if base not in seen:
+                            seen.add(base)
+                            core = _digest(raw[base + SIDE : base + length])
+                            left, right = raw[max(0, base) : base + SIDE], raw[base + length : base + length + SIDE]
+                            around = left.rjust(SIDE, b"\0") + right.ljust(SIDE, b"\0")
+                            out.append((i, key, base, *core, around, max(0, -base), min(SIDE, len(raw) - length - base)))
+                if len(out) > 20_000:
+                    yield _cell_batch(out)
+                    out = []
+            if out:
                 yield _cell_batch(out)
-                out = []
-        if out:
-            yield _cell_batch(out)
+
+    return run
 
 
 _CELL_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
@@ -173,57 +183,66 @@ def _sorted_cells(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["c1", "c2", "around", "first", "last", "d", "mask"]]
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """From rows (id, text, tkey): rows (id, tkey, lo, hi, mask), with windows lo..hi, or lo + k for each bit k of mask, that also start elsewhere."""
-    spark = docs.sparkSession
-    run_schema = "id long, tkey long, p long, lo long, hi long, gram long, u1 long, u2 long"
-    runs = written(docs.where(F.octet_length("text") >= LENGTH).select("id", "tkey", "text").mapInArrow(_runs, run_schema), "runs")
-    kinds = runs.groupBy("gram", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("id", "tkey", "p", "lo", "hi")).alias("r"))
-    kinds = written(kinds.select("gram", "u1", "u2", "n", "r"), "run-kinds")
-    whole = kinds.where("n > 1").select("u1", "u2", "gram")
-    twins = runs.join(whole, ["u1", "u2", "gram"]).select("id", "tkey", "lo", "hi", F.lit(None).cast("long").alias("mask"))
+    with Scratch(docs.sparkSession) as held:
+        return written(_spans(docs, length, held), "repeated-spans")
+
+
+def _spans(docs: DataFrame, length: int, held: Scratch) -> DataFrame:
+    if not GRAM + CELL <= length < 1 << 16:
+        raise ValueError(f"a length of {GRAM + CELL} to 65535 bytes, not {length}")
+    long = docs.where(F.octet_length("text") >= length).select("id", "tkey", "text")
+    runs = held.written(long.mapInArrow(_runs(length), "id long, tkey long, at long, gram long, code long"), "runs")
+    kinds = runs.groupBy("gram", "code").agg(F.count("*").alias("n"), F.min(F.struct("id", "tkey", "at")).alias("r"))
+    kinds = held.written(kinds, "run-kinds")
+    whole = kinds.where("n > 1").select("gram", "code")
+    p = F.shiftright("at", 32)
+    lo, hi = (p - F.shiftright("at", k).bitwiseAND(F.lit(0xFFFF)) for k in (16, 0))
+    twins = runs.join(whole, ["gram", "code"]).select("id", "tkey", lo.alias("lo"), hi.alias("hi"), F.lit(None).cast("long").alias("mask"))
 
     shared = kinds.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram")
-    work = kinds.join(shared, "gram").select("r.*").groupBy("id", "tkey").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("runs"))
+    work = kinds.join(shared, "gram").select("r.*").groupBy("id", "tkey").agg(F.collect_list("at").alias("runs"))
     key = [F.col("id").eqNullSafe(F.col("w_id")), F.col("tkey") == F.col("w_tkey")]
     with_text = lean_batches(docs).select("id", "tkey", "text").join(work.withColumnsRenamed({"id": "w_id", "tkey": "w_tkey"}), key).select("id", "tkey", "text", "runs")
     cell_schema = "id long, tkey long, base long, c1 long, c2 long, around binary, first int, last int"
-    cells = written(with_text.mapInArrow(_cells, cell_schema), "cells")
+    cells = held.written(with_text.mapInArrow(_cells(length), cell_schema), "cells")
 
     alike = ["c1", "c2", "around", "first", "last"]
     items = cells.groupBy(*alike).agg(F.count("*").alias("n"))
     cores = items.groupBy("c1", "c2").agg(F.count("*").alias("d"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    items = written(items.join(cores.select("c1", "c2", "d"), ["c1", "c2"]), "cell-kinds")
+    items = held.written(items.join(cores.select("c1", "c2", "d"), ["c1", "c2"]), "cell-kinds")
     every = sum((F.when((F.col("first") <= k) & (F.col("last") >= k), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(CELL)), F.lit(0).cast("long"))
     full = items.where("n > 1").select(*alike, every.alias("mask"))
     many = items.where("d > 1")
     tasks = max(1, many.count() // PER_TASK)
     salt = F.pmod(F.xxhash64("around"), F.ceil(F.col("d") / PER_CORE))
     bucket = F.pmod(F.xxhash64("c1", "c2", salt), F.lit(tasks))
-    masked = many.select(*alike, "d", bucket.alias("bucket")).groupBy("bucket").applyInPandas(_sorted_cells, "c1 long, c2 long, around binary, first int, last int, d long, mask long")
-    masked = written(masked, "cell-masks")
+    dealt = many.select(*alike, "d", bucket.alias("bucket")).repartition(tasks, "bucket")  # by numbers of cells, not by their bytes
+    masked = dealt.groupBy("bucket").applyInPandas(_sorted_cells, "c1 long, c2 long, around binary, first int, last int, d long, mask long")
+    masked = held.written(masked, "cell-masks")
     found = full.unionByName(masked.where("mask <> 0").select(*alike, "mask"))
     if (hot := masked.where(F.col("d") > PER_CORE)).limit(1).count():
         at = hot.select(*alike, F.explode(F.sequence("first", "last")).alias("k"))
         at = at.withColumn("bytes", F.substring(F.col("around"), F.col("k") + 1, F.lit(SIDE)))
         again = at.groupBy("c1", "c2", "k", "bytes").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         found = found.unionByName(at.join(again, ["c1", "c2", "k", "bytes"]).select(*alike, F.expr("shiftleft(1L, k)").alias("mask")))
-    found = found.groupBy(*alike).agg(F.bit_or("mask").alias("mask"))
+    found = held.written(found.groupBy(*alike).agg(F.bit_or("mask").alias("mask")), "cells-found")  # so that the join below is one that Spark splits where it is hot
     parts = cells.join(found, alike).select("id", "tkey", F.col("base").alias("lo"), F.lit(None).cast("long").alias("hi"), "mask")
     return twins.unionByName(parts)
 
 
-def covered(n: int, spans: list[dict] | None) -> np.ndarray:
+def covered(n: int, spans: list[dict] | None, length: int = LENGTH) -> np.ndarray:
     """The removed runs of a text of n bytes, as rows (start, end)."""
     edge = np.zeros(n + 1, np.int32)
     for s in spans or ():
         if s["mask"] is None:
             edge[s["lo"]] += 1
-            edge[s["hi"] + LENGTH] -= 1
+            edge[s["hi"] + length] -= 1
         else:
             at = s["lo"] + np.flatnonzero((s["mask"] >> np.arange(CELL)) & 1)
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + LENGTH, -1)
+            np.add.at(edge, at + length, -1)
     inside = np.concatenate([[False], np.cumsum(edge[:n]) > 0, [False]]).astype(np.int8)
     return np.stack([np.flatnonzero(np.diff(inside) > 0), np.flatnonzero(np.diff(inside) < 0)], axis=1)
 
@@ -231,12 +250,12 @@ def covered(n: int, spans: list[dict] | None) -> np.ndarray:
 _OUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
 
 
-def _cut(digest: bool):
+def _cut(digest: bool, length: int):
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
         for x, s in zip(text.to_pylist(), spans.to_pylist()):
             raw = (x or "").encode("utf-8", "surrogatepass")
-            gone = covered(len(raw), s) if s else np.zeros((0, 2), np.int64)
+            gone = covered(len(raw), s, length) if s else np.zeros((0, 2), np.int64)
             kept, at = [], 0
             for a, b in gone.tolist():
                 kept.append(raw[at:a])
@@ -249,21 +268,21 @@ def _cut(digest: bool):
     return F.arrow_udf(cut, _OUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, length: int = LENGTH) -> DataFrame:
     """docs with a struct column `repeats`: n_bytes, n_removed, n_spans and kept, the bytes that stay (with digest, their sha256 alone).
 
     Texts are shuffled twice: to those of their runs that need cells, and to the spans found.
     """
     packed = lean_batches(docs).select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tkey", row_key())
-    spans = repeated_spans(packed.select("id", "text", "tkey")).groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("spans"))
+    spans = repeated_spans(packed.select("id", "text", "tkey"), length).groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("spans"))
     spans = spans.withColumnsRenamed({"id": "s_id", "tkey": "s_tkey"})
     joined = packed.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("tkey") == F.col("s_tkey")), "left")
-    return joined.select("row", _cut(digest)("text", "spans").alias("repeats"))
+    return joined.select("row", _cut(digest, length)("text", "spans").alias("repeats"))
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with repeated bytes cut out of their texts; what a cut leaves of a character goes too. Null texts stay null."""
-    cut = remove_repeats(docs, id_col, text_col)
+    cut = remove_repeats(docs, id_col, text_col, length=length)
     new = F.when(F.col("repeats.n_removed") > 0, _text("repeats.kept")).otherwise(F.col("row")[text_col])
     return cut.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 

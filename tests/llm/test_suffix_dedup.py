@@ -9,7 +9,7 @@ from loomline.llm import suffix_dedup
 from loomline.llm.suffix_dedup import LENGTH, drop_repeats, remove_repeats
 
 
-def brute(texts):
+def brute(texts, LENGTH=LENGTH):
     raws = [(t or "").encode() for t in texts]
     n = Counter(r[k : k + LENGTH] for r in raws for k in range(len(r) - LENGTH + 1))
     out = []
@@ -53,16 +53,27 @@ def test_against_brute_force(spark, monkeypatch, per_core, per_task):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("length", [56, 256])
+def test_other_lengths(spark, length):
+    rows = hard_rows()
+    got = remove_repeats(documents(spark, rows), digest=True, length=length).select("row.doc_id", "repeats.*").drop("kept").collect()
+    want = [(i, *x) for (i, _, _), x in zip(rows, brute([t for _, t, _ in rows], length))]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    with pytest.raises(ValueError):
+        remove_repeats(documents(spark, rows), length=40)
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 2048)
     rows = hard_rows()
     docs = documents(spark, rows).selectExpr("doc_id as id", "coalesce(text, '') as text", "xxhash64(text) as tkey").toArrow()
     texts = docs["text"].to_pylist()
-    for batch in suffix_dedup._runs(docs.to_batches()):
+    for batch in suffix_dedup._runs(LENGTH)(docs.to_batches()):
         for r in batch.to_pylist():
             text = next(t for i, t, k in zip(docs["id"].to_pylist(), texts, docs["tkey"].to_pylist()) if k == r["tkey"] and i == r["id"]).encode()
-            assert r["lo"] <= r["hi"] <= r["p"] <= r["lo"] + LENGTH - 24
-            assert r["hi"] + LENGTH <= len(text)
+            p, before, after = r["at"] >> 32, r["at"] >> 16 & 0xFFFF, r["at"] & 0xFFFF
+            assert 0 <= after <= before <= LENGTH - 24
+            assert p - after + LENGTH <= len(text)
 
 
 def test_drop(spark):
