@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomline.functions.strings import col
 
@@ -29,7 +27,8 @@ def lerp(a, b, r) -> Column:
 
 
 def lerp_between(a, b, t0, t1, t) -> Column:
-    return col(a) + (col(b) - col(a)) * (col(t) - col(t0)) / (col(t1) - col(t0))
+    """Null where t0 is t1."""
+    return col(a) + F.try_divide((col(b) - col(a)) * (col(t) - col(t0)), col(t1) - col(t0))
 
 
 def lerp_three(a, mid, b, r) -> Column:
@@ -55,8 +54,9 @@ def half_life(x, low: float, high: float, life: float) -> Column:
 
 
 def remap(x, s0: float, s1: float, d0: float, d1: float, clamped: bool = False) -> Column:
+    """From s0..s1 to d0..d1; null where s0 is s1, but for what clamping settles."""
     x = col(x)
-    out = F.lit(d0) + (x - s0) * (d1 - d0) / (s1 - s0)
+    out = F.lit(d0) + F.try_divide((x - s0) * (d1 - d0), F.lit(s1 - s0))
     return F.when(x <= s0, d0).when(x >= s1, d1).otherwise(out) if clamped else out
 
 
@@ -127,12 +127,14 @@ def angle_between(a, b) -> Column:
 
 
 def roots(a, b, c) -> Column:
-    """Real roots of ax² + bx + c, the lesser first, and whether there are any."""
+    """Real roots of ax² + bx + c, the lesser first, and whether there are any; a line has its one root twice, and 0 = 0 has 0 for one."""
     a, b, c = map(col, (a, b, c))
     d = b * b - 4 * a * c
     r = F.sqrt(F.when(d >= 0, d))
-    x, y = (-b - r) / (2 * a), (-b + r) / (2 * a)
-    return F.struct(F.least(x, y).alias("x0"), F.greatest(x, y).alias("x1"), ((a != 0) & (d >= 0)).alias("real"))
+    line = F.coalesce(F.try_divide(-c, b), F.when(c == 0, F.lit(0.0)))
+    x, y = (F.when(a == 0, line).otherwise(F.try_divide(-b + sign * r, 2 * a)) for sign in (-1, 1))
+    real = F.when(a != 0, d >= 0).otherwise((b != 0) | (c == 0))
+    return F.struct(F.least(x, y).alias("x0"), F.greatest(x, y).alias("x1"), real.alias("real"))
 
 
 def boxes_touch(lo_a, hi_a, lo_b, hi_b, gap: float = 0.0) -> Column:
@@ -168,21 +170,24 @@ def gelu(x) -> Column:
     return 0.5 * x * (1 + F.tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))
 
 
-@F.pandas_udf(T.IntegerType())
-def crc16(s: pd.Series) -> pd.Series:
-    """CRC-16 of the UTF-8 bytes: polynomial 0x1021, first value 0xffff."""
+def _crc16_table() -> list[int]:
+    out = []
+    for b in range(256):
+        crc = b << 8
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
+        out.append(crc)
+    return out
 
-    def one(x: str) -> int:
-        crc = 0xFFFF
-        for b in x.encode():
-            crc ^= b << 8
-            for _ in range(8):
-                crc = (crc << 1) ^ 0x1021 if crc & 0x8000 else crc << 1
-            crc &= 0xFFFF
-        return crc
-
-    known = {x: one(x) for x in s.dropna().unique()}
-    return s.map(known)
+
+def crc16(s) -> Column:
+    """CRC-16 of the UTF-8 bytes: polynomial 0x1021, first value 0xffff."""
+    digits = F.hex(F.encode(col(s), "UTF-8"))
+    n = F.floor(F.length(digits) / 2).cast("int")
+    byte = lambda k: F.conv(F.substring(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("int")
+    table = F.array(*map(F.lit, _crc16_table()))
+    step = lambda crc, k: F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(table, F.shiftright(crc, 8).bitwiseXOR(byte(k))))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0xFFFF), step)).when(n == 0, F.lit(0xFFFF))
 
 
 def morton2(x, y, bits: int = 16) -> Column:

@@ -70,7 +70,8 @@ def set_pair(s, key: str, value: str) -> Column:
 
 def pairs_of(s) -> Column:
     r"""A map from \key\value\key\value; an odd last key goes; of equal keys the first counts."""
-    parts = F.slice(F.split(col(s), r"\\"), 2, 10_000)
+    split = F.split(col(s), r"\\")
+    parts = F.slice(split, F.lit(2), F.size(split))
     n = F.floor(F.size(parts) / 2).cast("int")
     keys = F.filter(F.slice(parts, 1, n * 2), lambda x, i: i % 2 == 0)
     values = F.filter(F.slice(parts, 1, n * 2), lambda x, i: i % 2 == 1)

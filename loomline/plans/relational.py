@@ -196,12 +196,12 @@ def semi_anti(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(o, on, "left_semi").select("c_custkey", F.lit(True).alias("ordered")).unionByName(c.join(o, on, "left_anti").select("c_custkey", F.lit(False).alias("ordered")))
 
 
-@query("""SELECT o_orderkey, event_id FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 86400000000 AS a, o_orderkey % 7 AS k FROM orders WHERE o_orderkey % 20 = 0) AS o
-JOIN (SELECT event_id, epoch_us(ts) // 86400000000 - 9500 AS b, user_id % 7 AS k FROM events) AS e ON o.k = e.k AND o.a < e.b + 3 AND e.b < o.a + 10""")
+@query("""SELECT o_orderkey, event_id FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 86400000000 AS a, o_custkey % 150 AS k FROM orders) AS o
+JOIN (SELECT event_id, epoch_us(ts) // 86400000000 - 9500 AS b, user_id % 150 AS k FROM events) AS e ON o.k = e.k AND o.a < e.b + 3 AND e.b < o.a + 10""")
 def interval_join(spark: SparkSession, sf: str) -> DataFrame:
     day = 86_400_000_000
-    o = t(spark, sf, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.floor(windows.micros("o_orderdate") / day).alias("a"), (F.col("o_orderkey") % 7).alias("k")).withColumn("a2", F.col("a") + 10)
-    e = t(spark, sf, "events").select("event_id", (F.floor(windows.micros("ts") / day) - 9500).alias("b"), (F.col("user_id") % 7).alias("k")).withColumn("b2", F.col("b") + 3)
+    o = t(spark, sf, "orders").select("o_orderkey", F.floor(windows.micros("o_orderdate") / day).alias("a"), (F.col("o_custkey") % 150).alias("k")).withColumn("a2", F.col("a") + 10)
+    e = t(spark, sf, "events").select("event_id", (F.floor(windows.micros("ts") / day) - 9500).alias("b"), (F.col("user_id") % 150).alias("k")).withColumn("b2", F.col("b") + 3)
     return joins.interval_join(o, e, "a", "a2", "b", "b2", 16, ["k"]).select("o_orderkey", "event_id")
 
 
@@ -223,12 +223,12 @@ def box_join(spark: SparkSession, sf: str) -> DataFrame:
     return joins.box_join(boxes, boxes, cell=8.0, gap=0.25).where("a < b")
 
 
-@query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 20),
+@query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
 d AS (SELECT query, vec_id AS id, round(list_dot_product(qv, qv) + list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 2 * list_dot_product(qv, embedding::DOUBLE[]), 6) AS dist2 FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist2, id) AS place FROM d) SELECT query, id, place, round(dist2, 3) AS dist2 FROM r WHERE place <= 5""")
 def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     v = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    out = joins.nearest(v.where("id < 20"), v, 5)
+    out = joins.nearest(v.where("id % 100 = 0"), v, 5)
     return out.select("query", "id", F.col("place").cast("long").alias("place"), F.round("dist2", 3).alias("dist2"))
 
 

@@ -35,10 +35,11 @@ def pair_strings(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", "pairs", strings.get_pair("pairs", "seg").alias("seg"), strings.get_pair("pairs", "void").alias("none"), strings.set_pair("pairs", "seg", "X").alias("changed"))
 
 
-@query("""SELECT page_id, replace(replace(url, '/', '%2F'), ':', '%3A') AS code, url AS back FROM pages WHERE regexp_matches(url, '^[A-Za-z0-9:/._-]*$')""")
+@query("""SELECT page_id, replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')') AS code, url AS back FROM pages""")
 def percent_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's address, and decoded again."""
     code = strings.percent_encode("url")
-    return t(spark, sf, "pages").where(F.col("url").rlike("^[A-Za-z0-9:/._-]*$")).select("page_id", code.alias("code"), F.url_decode(code).alias("back"))
+    return t(spark, sf, "pages").select("page_id", code.alias("code"), F.url_decode(code).alias("back"))
 
 
 @query("""SELECT p_partkey, p_partkey || CASE WHEN p_partkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_partkey % 10 = 1 THEN 'st' WHEN p_partkey % 10 = 2 THEN 'nd' WHEN p_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS place,
@@ -93,7 +94,8 @@ def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").select("event_id", k.alias("k")).where("k > 10")
 
 
-@query()
+@query("""SELECT c_custkey, list_reduce(list_concat([65535], list_transform(string_split(c_name, ''), lambda x: ord(x))), lambda c, b: list_reduce(list_concat([xor(c, b * 256)], range(8)),
+lambda x, i: CASE WHEN x & 32768 <> 0 THEN xor(x * 2, 4129) ELSE x * 2 END & 65535)) % 8192 AS bucket FROM customer""")
 def crc16_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """Customers in 8192 buckets by the CRC-16 of their names."""
     return t(spark, sf, "customer").select("c_custkey", (maths.crc16("c_name") % 8192).alias("bucket"))

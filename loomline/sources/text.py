@@ -49,16 +49,32 @@ def tagged_lines(lines: DataFrame, carry: str) -> DataFrame:
 
 
 def edge_list(lines: DataFrame) -> DataFrame:
-    """Undirected edges from lines "x y z*x y z", each with the least length; comments (//) and malformed lines go. Points are rounded to a tenth."""
-    def point(s: Column) -> Column:
-        return F.transform(F.split(F.trim(s), r"\s+"), lambda x: F.round(x.try_cast("double"), 1))
+    """Undirected edges from lines "x y z*x y z", each with the least length.
 
-    ends = F.split("text", r"\*")
-    rows = lines.where(~F.col("text").startswith("//") & (F.size(ends) == 2)).select(point(ends[0]).alias("p"), point(ends[1]).alias("q"))
-    whole = lambda a: (F.size(a) == 3) & ~F.exists(a, lambda x: x.isNull())
-    rows = rows.where(whole(F.col("p")) & whole(F.col("q")))
+    Points may stand in quotes and are rounded to a tenth. Comments (//), lines that are malformed or not finite, and
+    edges from a point to itself go; malformed_edges counts the second kind.
+    """
+    rows = _ends(lines).where("whole")
     length = F.sqrt(F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), length.alias("length")).groupBy("a", "b").agg(F.min("length").alias("length"))
+    return rows.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), length.alias("length")).groupBy("a", "b").agg(F.min("length").alias("length"))
+
+
+def malformed_edges(lines: DataFrame) -> DataFrame:
+    """One row: lines, comments, and malformed, the lines that edge_list leaves out as no edge."""
+    rows = _ends(lines)
+    return rows.agg(F.count("*").alias("lines"), F.count_if("comment").alias("comments"), F.count_if(~F.col("comment") & ~F.col("whole")).alias("malformed"))
+
+
+def _ends(lines: DataFrame) -> DataFrame:
+    def point(s: Column) -> Column:
+        inner = F.regexp_replace(F.trim(s), r"^(['\"]?)(.*)\1$", "$2")
+        return F.transform(F.split(F.trim(inner), r"\s+"), lambda x: F.round(x.try_cast("double"), 1))
+
+    ends, comment = F.split("text", r"\*"), F.coalesce(F.col("text").startswith("//"), F.lit(False))
+    rows = lines.select(comment.alias("comment"), point(F.get(ends, F.lit(0))).alias("p"), point(F.get(ends, F.lit(1))).alias("q"), F.size(ends).alias("n"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    good = lambda a: (F.size(a) == 3) & F.forall(a, finite)
+    return rows.withColumn("whole", F.coalesce(~F.col("comment") & (F.col("n") == 2) & good(F.col("p")) & good(F.col("q")), F.lit(False)))
 
 
 def journal(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

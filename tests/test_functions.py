@@ -68,3 +68,14 @@ def test_latest_stream(spark, tmp_path):
     q.stop()
     last = {r.key: r.value for r in spark.table("latest").orderBy("at_us").collect()}
     assert last == {1: 2.0, 2: 9.0}
+
+
+def test_zeros_and_gaps(spark):
+    n, z = F.lit(None).cast("double"), F.lit(0.0)
+    r = one(spark, line=maths.roots(z, F.lit(2.0), F.lit(-6.0)), all=maths.roots(z, z, z), none=maths.roots(z, z, F.lit(1.0)), same=maths.lerp_between(z, F.lit(1.0), z, z, F.lit(0.5)), flat=maths.remap(F.lit(1.0), 2.0, 2.0, 0.0, 1.0), crc=maths.crc16(F.lit("")), none_crc=maths.crc16(F.lit(None).cast("string")), e=maths.roots(n, z, z))
+    assert (tuple(r.line), tuple(r.all), tuple(r.none), r.same, r.flat, r.crc, r.none_crc) == ((3.0, 3.0, True), (0.0, 0.0, True), (None, None, False), None, None, 0xFFFF, None)
+    r = one(spark, between=maths.lerp_between(F.lit(1.0), F.lit(3.0), z, F.lit(4.0), F.lit(1.0)), mid=maths.median3(F.lit(3.0), F.lit(1.0), F.lit(2.0)), pre=strings.same_prefix(F.lit("ABx"), F.lit("aby"), 2), many=F.size(strings.pairs_of(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda k: F.concat(F.lit("\\k"), k.cast("string"), F.lit("\\v")))))))
+    assert r.asDict() == {"between": 1.5, "mid": 2.0, "pre": True, "many": 6000}
+    lines = spark.createDataFrame([("'0 0 0'*'3 4 0'",), ("1 1 1*1 1 1",), ("nan 0 0*1 1 1",), ("// x",), (None,), ("1 2 3",)], "text string")
+    assert [(r.a, r.b, r.length) for r in text.edge_list(lines).collect()] == [([0.0] * 3, [3.0, 4.0, 0.0], 5.0)]
+    assert tuple(text.malformed_edges(lines).first()) == (6, 1, 3)
