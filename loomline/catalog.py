@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.plans import graphs, relational, scalars, state  # noqa: F401
+from loomline.plans import columns, graphs, profiles, relational, scalars, state  # noqa: F401
 from loomline.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "pricing_summary"

@@ -16,6 +16,7 @@ from loomline.session import written
 
 def bfs(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(node, level) of every node reached from sources (column node) over edges (src, dst); raises where one is beyond level `most`."""
+    edges = written(edges.select("src", "dst"), "edges")
     seen = front = written(sources.select("node", F.lit(0).cast("long").alias("level")).distinct(), "bfs")
     for level in count(1):
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
@@ -29,7 +30,7 @@ def bfs(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFr
 
 def shortest_paths(edges: DataFrame, source, most: int | None = None) -> DataFrame:
     """(node, dist) from one source over edges (src, dst, weight) with weights of 0 or more; raises where a shortest path has over `most` edges."""
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, written(edges.select("src", "dst", "weight"), "edges")
     dist = front = written(spark.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).cast("double").alias("dist")), "sssp")
     for length in count(1):
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("new")).groupBy("node").agg(F.min("new").alias("new"))
@@ -80,6 +81,7 @@ def quotient(edges: DataFrame, classes: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, level) of an acyclic graph: 0 without predecessors, else one more than the highest of them."""
+    edges = written(edges.select("src", "dst"), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     level = written(nodes.withColumn("level", F.lit(0).cast("long")), "levels")
     for _ in range(most):
@@ -102,3 +104,22 @@ def redundant_edges(edges: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in_")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in_")))
     return ends.groupBy("node").agg(F.sum("out").alias("out_degree"), F.sum("in_").alias("in_degree"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of a directed graph: two nodes share a component where each reaches the other; its name is the least node."""
+    reach = closure(edges)
+    back = reach.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    least = reach.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
+    return nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
+
+
+def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight) with the nodes of gone (node) eliminated one step: what led through one of them leads past it, at the least sum."""
+    g = gone.select(F.col("node").alias("g"))
+    into = edges.join(g, F.col("dst") == F.col("g"), "left_semi").select("src", F.col("dst").alias("via"), F.col("weight").alias("w"))
+    out = edges.join(g, F.col("src") == F.col("g"), "left_semi").select(F.col("src").alias("via"), "dst", F.col("weight").alias("w2"))
+    past = into.join(out, "via").select("src", "dst", (F.col("w") + F.col("w2")).alias("weight"))
+    rest = edges.unionByName(past).join(g, F.col("src") == F.col("g"), "left_anti").join(g, F.col("dst") == F.col("g"), "left_anti")
+    return rest.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
