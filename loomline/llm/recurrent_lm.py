@@ -370,7 +370,7 @@ def encoded(rows: DataFrame, counts: Counts) -> DataFrame:
             flat = np.full(int(ends[-1]), know.rank[0], "<i2")
             flat[np.arange(len(code)) + own] = symbol[code]
             symbols = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends]) * 2), pa.py_buffer(flat)]).cast(pa.binary())
-            summed = lambda x: np.bincount(own, x[code], minlength=n)  # noqa: E731, B023
+            summed = lambda x: np.bincount(own, x[code], minlength=n).astype(np.float64)  # noqa: E731, B023; whole numbers where there are no words
             rare, times = np.unique(own[~seen[code]] * max(1, len(words)) + code[~seen[code]], return_counts=True)
             cuts = np.searchsorted(rare // max(1, len(words)), np.arange(n + 1)).astype(np.int32)
             others = pa.StructArray.from_arrays([words.take(pa.array(rare % max(1, len(words)))), pa.array(times, pa.int32())], ["word", "n"])

@@ -109,3 +109,10 @@ def test_documents(spark, monkeypatch):
     assert lm.score_texts(documents(spark, [])).count() == 0
     lone = lm.score_texts(documents(spark, [(1, "a b", "x")] if held(1) else [(next(k for k in range(99) if held(k)), "a b", "x")])).collect()
     assert lone[0].train_tokens == 0 and lone[0].n_known == 0
+
+
+def test_query_with_null_and_repeated_ids(spark, tmp_path):
+    documents(spark, edge_rows()).write.parquet(f"{tmp_path}/documents.parquet")
+    got = lm.op10_recurrent_lm(spark, str(tmp_path)).collect()
+    assert len(got) == len(edge_rows()) and all(isinstance(r.held_out, bool) for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
