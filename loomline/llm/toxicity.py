@@ -54,10 +54,11 @@ class Model:
         ids = [np.array([memo.setdefault(w, len(memo)) for w in d.lower().split()], np.int64) for d in docs]
         subs = [np.array(subwords(w), np.int64) for w in memo]
         of = np.repeat(np.arange(len(subs)), [len(s) for s in subs])
-        flat = np.concatenate(subs)
+        flat = np.concatenate([np.zeros(0, np.int64), *subs])
         seen = np.zeros(BUCKETS, np.int64)
         for d in ids:
-            seen[np.unique(np.concatenate([subs[w] for w in set(d.tolist())]))] += 1 if len(d) else 0
+            if len(d):
+                seen[np.unique(np.concatenate([subs[w] for w in set(d.tolist())]))] += 1
         self.known = seen >= MIN_TEXTS
         keep = self.known[flat]
         of, flat = of[keep], flat[keep]
@@ -176,7 +177,7 @@ def _scorer(shared):
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document; rows without an id are not held out, nor learned from."""
     docs = read_documents(spark, sf_dir)
     out = score_texts(docs, train(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -47,3 +47,11 @@ def test_without_two_classes(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_texts(docs, toxicity.train(docs, none)).collect()} == {0.0}
     assert toxicity.score_texts(documents(spark, []), toxicity.train(docs, none)).count() == 0
+
+
+def test_query_with_null_and_repeated_ids(spark, tmp_path):
+    documents(spark, edge_rows()).withColumnRenamed("key", "score").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1, 1), (3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op6_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(edge_rows()) and all(isinstance(r.held_out, bool) and 0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 7}) == 1
