@@ -30,7 +30,7 @@ from loomline.llm.tokens import PieceEncoder, array_of, bytes_of, load
 #: Characters of a text beyond which its leaves are rows; most bytes of a leaf inside a task; bytes of the first window on each side.
 SPLIT, LEAF, WINDOW = 65_536, 512, 64
 #: Bytes of texts that go up their trees together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 
 Tokens = tuple[np.ndarray, np.ndarray]  # ids, and where each starts, in bytes
 
@@ -38,7 +38,7 @@ Tokens = tuple[np.ndarray, np.ndarray]  # ids, and where each starts, in bytes
 class TreeEncoder:
     """Encodes texts by their trees. joins and redone count the joins made, and the windows encoded beyond each join's first."""
 
-    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, room: int = 600_000):
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, room: int = 200_000):
         self.flat, self.leaf, self.window = PieceEncoder(path, places=True, room=room), leaf, window
         self.joins = self.redone = 0
 
@@ -133,9 +133,9 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def short(batches):
         tree, reader = TreeEncoder(tokenizer), Reader(tokenizer, digest)
         for batch in merged(batches, "text", TOGETHER):
-            runs = [ids.tolist() for ids, _ in tree.encode(batch["text"])]
+            runs = [ids for ids, _ in tree.encode(batch["text"])]
             for k in range(0, len(runs), 256):
-                out = reader.read(runs[k : k + 256])
+                out = reader.read([ids.tolist() for ids in runs[k : k + 256]])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].slice(k, 256)} | {c: pa.array(v, _TYPES[c]) for c, v in out.items()})
 
     def cut(batches):
