@@ -121,11 +121,11 @@ def graph_ends(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("node", F.col("out_degree").alias("successors"), F.col("in_degree").alias("predecessors"), (F.col("out_degree") == 0).alias("sink"), (F.col("in_degree") == 0).alias("source"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) UNION SELECT l_partkey * 2 + 1, l_partkey FROM lineitem WHERE l_linenumber = 1), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
-SELECT node, least(node, coalesce((SELECT min(c.dst) FROM c JOIN c AS d ON d.src = c.dst AND d.dst = c.src WHERE c.src = node), node)) AS component FROM n""".replace("WHERE l_linenumber = 1", "WHERE l_linenumber = 1 AND l_returnflag = 'R'"))
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) UNION SELECT p_partkey * 2 + 1, p_partkey FROM part WHERE p_size = 50), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT node, least(node, coalesce((SELECT min(c.dst) FROM c JOIN c AS d ON d.src = c.dst AND d.dst = c.src WHERE c.src = node), node)) AS component FROM n""")
 def strong_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts that lead to each other, once returned first lines lead back."""
-    back = t(spark, sf, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'").select((F.col("l_partkey") * 2 + 1).alias("src"), F.col("l_partkey").alias("dst"))
+    """Parts that lead to each other, where the greatest parts are led back to."""
+    back = t(spark, sf, "part").where("p_size = 50").select((F.col("p_partkey") * 2 + 1).alias("src"), F.col("p_partkey").alias("dst"))
     return graphs.strong_components(supply_edges(spark, sf).select("src", "dst").unionByName(back).distinct())
 
 
