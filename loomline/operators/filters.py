@@ -21,7 +21,10 @@ def text_test(field: str, op: str, value: str) -> Column:
     """Without case and colour codes; an empty pattern is contained in nothing."""
     a, b = F.lower(decolour(field)), value.lower()
     has, starts = a.contains(b) if b else F.lit(False), a.startswith(b)
-    return {"contains": has, "lacks": ~has, "starts": starts, "not starts": ~starts}.get(op) if op not in _ORDER else _ORDER[op](a, F.lit(b))
+    tests = {"contains": has, "lacks": ~has, "starts": starts, "not starts": ~starts}
+    if op not in tests and op not in _ORDER:
+        raise ValueError(f"no such operator: {op}")
+    return tests[op] if op in tests else _ORDER[op](a, F.lit(b))
 
 
 def mask(df: DataFrame, tests: list[tuple[str, str, object]]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.session import written
+
 
 def micros(at: str) -> Column:
     """Microseconds since 1970 of a timestamp with or without a zone."""
@@ -63,3 +65,20 @@ def route(scores: DataFrame, token: str, expert: str, score: str, k: int, slots:
 def steps_of(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Neighbouring values per key: from, to."""
     return df.select(key, F.col(value).alias("from"), F.lead(value).over(Window.partitionBy(key).orderBy(order)).alias("to")).where(F.col("to").isNotNull())
+
+
+def global_places(df: DataFrame, order: list[str], kept: Column) -> DataFrame:
+    """df with place, from 0, in the whole order, and kept_before, how many of the kept rows come before.
+
+    Range partitions are numbered each by its own task, and what precedes a partition is summed over a row per partition.
+    The partitions are written first, so that a lost executor deals no row anew. Null kept counts as false; equal rows are placed in any order.
+    """
+    one = F.coalesce(kept, F.lit(False)).cast("long")
+    rows = written(df.withColumn("_one", one).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "places")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sums = rows.groupBy("_part").agg(F.count("*").alias("n"), F.sum("_one").alias("k"))
+    sums = sums.select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("_k"))
+    within = Window.partitionBy("_part").orderBy(*order)
+    before = F.sum("_one").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_one")
+    placed = rows.withColumns({"place": F.row_number().over(within) - 1, "kept_before": before}).join(sums, "_part")
+    return placed.withColumns({"place": F.col("place") + F.col("_n"), "kept_before": F.col("kept_before") + F.col("_k")}).drop("_one", "_part", "_n", "_k")
