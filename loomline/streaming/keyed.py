@@ -31,7 +31,7 @@ def ring(df: DataFrame, keys: list[str], order: list[str], keep: int) -> DataFra
 
 
 def stream_windows(stream: DataFrame, at: str, key: str, value: str, window: str, late: str) -> DataFrame:
-    """Counts and sums per key and event-time window of a stream; a window is final once the watermark has passed it."""
+    """Counts and sums per key and event-time window of a stream. In append mode a window comes out once, when the watermark has passed it, and its state goes; complete mode keeps all windows."""
     return stream.withWatermark(at, late).groupBy(F.window(at, window), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
