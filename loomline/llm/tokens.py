@@ -82,6 +82,21 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
+def cut_pieces(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The pieces of all texts end to end, the bytes where they start, and the end, and where each text starts, and the end."""
+    data, offsets = bytes_of(text)
+    sizes = np.diff(offsets)
+    cut = np.zeros(len(data), bool)
+    blank = np.flatnonzero(_BLANK[data[:-1]])
+    blank = blank[_CUTS[data[blank + 1]]]
+    cut[blank] = True
+    cut[offsets[1:][sizes > 0] - 1] = False  # the byte behind is another text's
+    cut[blank[data[blank] != 32] + 1] = True
+    cut[offsets[:-1][sizes > 0]] = True
+    starts = np.append(np.flatnonzero(cut), len(data))
+    return array_of(data, starts, pa.string()).dictionary_encode(), starts, offsets
+
+
 class PieceEncoder:
     """Texts to ids, with a memo of pieces that is halved when it holds `room` of them; with places, also where each token starts, in bytes (of the character that it starts in)."""
 
@@ -129,17 +144,7 @@ class PieceEncoder:
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """Ids of all texts end to end, where each token starts in its text (with places), and where each text's ids start, and the end."""
-        data, offsets = bytes_of(text)
-        sizes = np.diff(offsets)
-        cut = np.zeros(len(data), bool)
-        blank = np.flatnonzero(_BLANK[data[:-1]])
-        blank = blank[_CUTS[data[blank + 1]]]
-        cut[blank] = True
-        cut[offsets[1:][sizes > 0] - 1] = False  # the byte behind is another text's
-        cut[blank[data[blank] != 32] + 1] = True
-        cut[offsets[:-1][sizes > 0]] = True
-        starts = np.append(np.flatnonzero(cut), len(data))
-        coded = array_of(data, starts, pa.string()).dictionary_encode()
+        coded, starts, offsets = cut_pieces(text)
         kinds = coded.dictionary.to_pylist()
         if len(self.memo) > self.room:  # frequent pieces come first, so what came first is kept
             kept = list(islice(self.memo.items(), self.room // 2))
