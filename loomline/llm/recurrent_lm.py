@@ -10,7 +10,9 @@ hash, but tasks as the tables lie in files, so scores of another layout differ a
 
 Counts cover all training documents. Texts are cut into words twice: to count them, and to write each document's
 symbols, which the rounds and the scoring read. The TOP most frequent words' counts are broadcast; other words meet
-theirs in a join. Null and empty texts are an end alone. Repeated rows give a row each, and score alike. Rows
+theirs in a join. Null and empty texts are an end alone. Repeated rows give a row each, and equal texts score alike:
+the blocks in which they are scored round differently, so all rows of a text take the least of its scores. Very long texts
+are laid out whole. Columns other than the id and the text are not looked at, whatever their names. Rows
 without an id are never held out, so they are learned from. Without training documents counts are zero, and
 base_score and score are those of one unseen symbol per token. Empty tables give no rows.
 """
@@ -352,11 +354,11 @@ class Counts:
         return symbol, seen, logs, np.where(inside, 0.0, logs - self.log_tail[tail])
 
 
-_ENCODED = "row long, doc_id long, train boolean, part int, symbols binary, n_tokens long, known long, base double, inner double, rare array<struct<word:binary,n:int>>"
+_ENCODED = "row long, doc_id long, key binary, train boolean, part int, symbols binary, n_tokens long, known long, base double, inner double, rare array<struct<word:binary,n:int>>"
 
 
 def encoded(rows: DataFrame, counts: Counts) -> DataFrame:
-    """From rows (doc_id, text, train, part): each with a number of its own, its symbols, what the TOP words give, and the other words."""
+    """From rows (doc_id, key, text, train, part): each with a number of its own, its symbols, what the TOP words give, and the other words."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)  # TOP words at most
 
     def encode(batches):
@@ -376,11 +378,11 @@ def encoded(rows: DataFrame, counts: Counts) -> DataFrame:
             others = pa.StructArray.from_arrays([words.take(pa.array(rare % max(1, len(words)))), pa.array(times, pa.int32())], ["word", "n"])
             known = summed(seen).astype(np.int64) + int(know.n_docs > 0)
             base = summed(logs) + know.end_log - (sizes + 1) * know.base
-            cols = [pa.array(np.arange(next_row, next_row + n)), batch["doc_id"], batch["train"], batch["part"], symbols, pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(summed(inner)), pa.ListArray.from_arrays(pa.array(cuts), others)]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "train", "part", "symbols", "n_tokens", "known", "base", "inner", "rare"])
+            cols = [pa.array(np.arange(next_row, next_row + n)), batch["doc_id"], batch["key"], batch["train"], batch["part"], symbols, pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(summed(inner)), pa.ListArray.from_arrays(pa.array(cuts), others)]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "key", "train", "part", "symbols", "n_tokens", "known", "base", "inner", "rare"])
             next_row += n
 
-    return rows.select("doc_id", "text", "train", "part").mapInArrow(encode, _ENCODED)
+    return rows.select("doc_id", "key", "text", "train", "part").mapInArrow(encode, _ENCODED)
 
 
 def in_fold() -> Column:
@@ -390,7 +392,7 @@ def in_fold() -> Column:
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every row, learned from the rows outside fold FOLD."""
-    rows = texts(docs, id_col, text_col).withColumn("train", ~in_fold())
+    rows = texts(docs, id_col, text_col).withColumns({"train": ~in_fold(), "key": F.unhex(F.md5("text"))})
     train = rows.where("train")
     counts = written(count_words(train), "lm-counts")
     know = Counts(counts, train.count())
@@ -399,31 +401,36 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     net = fit(told.where("train").select("symbols", "part"), Net(know.freq, int(know.rank[0])))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    own = ["row", "doc_id", "key", "n_tokens", "known", "base", "inner"]
+
     def score(batches):
-        rows_, docs_, held = [], [], 0
+        rows_, places, at, held = [], [], {}, 0  # at: each distinct text's symbols and their place
 
         def flush():
-            logs = pa.array(shared.value.score(docs_) / np.log(10))
-            return pa.RecordBatch.from_arrays([*pa.Table.from_batches(rows_).combine_chunks().to_batches()[0].columns, logs], names=[*own, "net"])
+            logs = shared.value.score([np.frombuffer(x, "<i2") for x in at]) / np.log(10)
+            return pa.RecordBatch.from_arrays([*pa.Table.from_batches(rows_).combine_chunks().to_batches()[0].columns, pa.array(logs[places])], names=[*own, "net"])
 
-        own = ["row", "doc_id", "n_tokens", "known", "base", "inner"]
         for batch in batches:
             rows_.append(batch.select(own))
-            docs_ += [np.frombuffer(x.as_buffer(), "<i2") for x in batch["symbols"]]
-            held += sum(map(len, docs_[-batch.num_rows :]))
+            for x in batch["symbols"].to_pylist():
+                if x not in at:
+                    held += len(x) // 2
+                places.append(at.setdefault(x, len(at)))
             if held > GROUP:
                 yield flush()
-                rows_, docs_, held = [], [], 0
-        if docs_:
+                rows_, places, at, held = [], [], {}, 0
+        if places:
             yield flush()
 
-    scored = told.drop("train", "part", "rare").mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, inner double, net double")
+    scored = told.drop("train", "part", "rare").mapInArrow(score, "row long, doc_id long, key binary, n_tokens long, known long, base double, inner double, net double")
     n, c = F.col("n"), F.col("c")
     found = told.select("row", F.inline("rare")).join(counts, "word", "left")
     sums = found.groupBy(F.col("row").alias("s_row")).agg(F.sum(n * F.log10(F.coalesce(c, F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(c.isNotNull(), n)).alias("more"))
     both = scored.join(sums, F.col("row") == F.col("s_row"), "left")
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return both.select("doc_id", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(know.N).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("net") + F.col("inner") + logs).alias("score"))
+    both = written(both.select("doc_id", "key", "n_tokens", (F.col("known") + more).alias("n_known"), (F.col("base") + logs).alias("base"), (F.col("net") + F.col("inner") + logs).alias("all")), "lm-scores")
+    alike = both.groupBy(F.col("key").alias("text_key")).agg(F.min("base").alias("base_score"), F.min("all").alias("score"))
+    return both.join(alike, F.col("key") == F.col("text_key")).select("doc_id", "n_tokens", "n_known", F.lit(know.N).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

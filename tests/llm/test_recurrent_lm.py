@@ -106,6 +106,9 @@ def test_documents(spark, monkeypatch):
     assert all(r.score < 0 for r in got)
     by_id = Counter((r.doc_id, r.score) for r in got if r.doc_id == 7)
     assert list(by_id.values()) == [2]
+    copies = [(5000 + k, rows[-1][1] if k % 2 else "ties " * 40, "a") for k in range(60)]
+    alike = lm.score_texts(documents(spark, rows + copies).repartition(7, "doc_id")).collect()
+    assert [len({(r.base_score, r.score) for r in alike if r.doc_id in [i for i, t, _ in rows + copies if t == text]}) for text in ("ties " * 40, rows[-1][1])] == [1, 1]
     assert lm.score_texts(documents(spark, [])).count() == 0
     lone = lm.score_texts(documents(spark, [(1, "a b", "x")] if held(1) else [(next(k for k in range(99) if held(k)), "a b", "x")])).collect()
     assert lone[0].train_tokens == 0 and lone[0].n_known == 0
