@@ -1,10 +1,12 @@
 """Quality rules with host verdicts.
 
 Rules on a text give its base verdict; failures are then aggregated by host (source), each host's rate
-is shrunk by an empirical beta prior, and hosts whose shrunk rate is too high reject all their documents.
+is shrunk by an empirical beta prior, and a host whose shrunk rate is over MULTIPLE times the mean of hosts, a limit
+kept between LEAST_RATE and MAX_RATE, rejects all its documents; one that only reaches the limit stays. So hosts fall by how they differ
+from the others, and where they do not, clean documents are left alone.
 
 Null texts are empty and fail (too few words). A null host is a host of its own. Repeated rows count
-once each. An empty table has no hosts and no rows. Other columns of the input stay as they are, whatever their names.
+once each. Very long texts are measured whole. An empty table has no hosts and no rows. Other columns of the input stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from loomline.llm.common import if_small, lean_batches, read_documents
 from loomline.session import written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: A host is rejected if its shrunk rate of base failures is over this.
-MAX_HOST_RATE = 0.7
-#: Most rejected hosts for which their table is broadcast; beyond that it is shuffled.
+#: A host is rejected if its shrunk rate of base failures is over so many times the mean rate of hosts, or over the limits of that limit.
+MULTIPLE, LEAST_RATE, MAX_RATE = 2.0, 0.15, 0.7
+#: Most hosts for which a table of them is broadcast; beyond that it is shuffled.
 BROADCAST_HOSTS = 20_000
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACES = str.maketrans(dict.fromkeys("\x09\x0a\x0b\x0c\x0d", " "))
@@ -79,25 +81,25 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     weight = F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("v")), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1.0))
     prior = prior.select("m", weight.alias("weight"))  # one row
     shrunk = (F.col("fails") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "fails", shrunk.alias("rate"), (shrunk > MAX_HOST_RATE).alias("rejected"))
+    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "fails", shrunk.alias("rate"), (shrunk > F.least(F.lit(MAX_RATE), F.greatest(F.lit(LEAST_RATE), MULTIPLE * F.col("m")))).alias("rejected"))
 
 
 def with_verdicts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Joins rejected hosts back to rows that have host and base_failed, and adds kept."""
-    bad = if_small(hosts.where("rejected").select(F.col("host").alias("bad_host"), F.lit(True).alias("host_rejected")), BROADCAST_HOSTS)
-    joined = judged.join(bad, judged["host"].eqNullSafe(bad["bad_host"]), "left").drop("bad_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_rejected").isNull()).drop("host_rejected")
+    """Joins hosts back to rows that have host and base_failed, and adds host_rate, host_rejected and kept; hosts that are left out reject nothing."""
+    told = if_small(hosts.select(F.col("host").alias("of_host"), F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected")), BROADCAST_HOSTS)
+    joined = judged.join(told, judged["host"].eqNullSafe(told["of_host"]), "left").drop("of_host").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, the base measures, base_failed and kept of every row.
+    """doc_id, host, the base measures, base_failed, host_rate, host_rejected and kept of every row.
 
     Texts are measured once and only the measures are written out, so no text is shuffled.
     """
     m = base_rules(F.col(f"`{text_col}`"))
     rows = lean_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").alias("host"), m.alias("m"))
     judged = written(rows.select("doc_id", "host", "m.*", failed(F.col("m")).alias("base_failed")), "quality")
-    return with_verdicts(judged, host_verdicts(judged))
+    return with_verdicts(judged, written(host_verdicts(judged), "hosts"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -105,12 +107,12 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     own = docs.columns
     packed = lean_batches(docs).select(F.struct("*").alias("row"), F.col(f"`{host_col}`").alias("host"), failed(base_rules(F.col(f"`{text_col}`"))).alias("base_failed"))
     hosts = written(host_verdicts(packed.select("host", "base_failed")), "hosts")
-    return with_verdicts(packed, hosts).where("kept").select(*[F.col("row")[c].alias(c) for c in own])
+    return with_verdicts(packed, hosts.where("rejected")).where("kept").select(*[F.col("row")[c].alias(c) for c in own])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(read_documents(spark, sf_dir))
-    return out.select("doc_id", *_FIELDS, "base_failed", "kept")
+    return out.select("doc_id", *_FIELDS, "base_failed", F.round("host_rate", 9).alias("host_rate"), "host_rejected", "kept")
 
 
 ORACLE = rf"""
@@ -132,8 +134,9 @@ j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM j GROUP BY source),
 p AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
 q AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 1.0 END AS k FROM p),
-bad AS (SELECT source, (f + m * k) / (n + k) > {MAX_HOST_RATE} AS rejected FROM h, q)
+s AS (SELECT source, m, (f + m * k) / (n + k) AS rate FROM h, q),
+bad AS (SELECT source, rate, rate > least({MAX_RATE}, greatest({LEAST_RATE}, {MULTIPLE} * m)) AS rejected FROM s)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, round(rate, 9) AS host_rate, rejected AS host_rejected, NOT base_failed AND NOT rejected AS kept
 FROM j JOIN bad ON j.source IS NOT DISTINCT FROM bad.source
 """

@@ -26,6 +26,28 @@ def test_edges_and_hosts(spark):
     assert quality_rules.keep_good(documents(spark, [])).count() == 0
 
 
+def test_host_rates_against_plain_python(spark):
+    fails = {f"h{k}": (40, 2 + k % 4) for k in range(30)} | {"junk": (60, 20), "few": (3, 1), "big": (400, 30), None: (20, 1)}
+    rows = [(h, k < f) for h, (n, f) in fails.items() for k in range(n)]
+    hosts = quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean"))
+    rates = [f / n for n, f in fails.values()]
+    m = sum(rates) / len(rates)
+    v = sum((r - m) ** 2 for r in rates) / len(rates)
+    k = m * (1 - m) / v - 1
+    want = {h: (f + m * k) / (n + k) for h, (n, f) in fails.items()}
+    got = {r.host: r for r in hosts.collect()}
+    assert all(abs(got[h].rate - want[h]) < 1e-12 for h in fails) and len(got) == len(fails)
+    assert {h for h in fails if got[h].rejected} == {h for h in fails if want[h] > min(quality_rules.MAX_RATE, max(quality_rules.LEAST_RATE, quality_rules.MULTIPLE * m))} == {"junk"}
+    assert m < got["few"].rate < 0.15 < got["junk"].rate  # as many failures in a hundred, but three documents tell little of a host
+    judged = quality_rules.with_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean"), hosts)
+    assert Counter(r.host for r in judged.where("kept").collect()) == {h: n - f for h, (n, f) in fails.items() if h != "junk" and n > f}
+
+
+def test_equal_hosts_lose_nothing(spark):
+    rows = [(f"h{k}", j == 0) for k in range(6) for j in range(10)]
+    assert spark.createDataFrame(rows, "host string, base_failed boolean").transform(quality_rules.host_verdicts).where("rejected").count() == 0
+
+
 def highest_quotients(targets, seats):
     n = Counter()
     for _ in range(seats):
