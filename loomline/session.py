@@ -27,14 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made for local applications that set none, by the application's id.
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset, as in tests, which a cluster refuses."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one made for this application where that is unset, as in tests, which a cluster refuses."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomline-", dir=os.environ.get("LOOMLINE_TMP"))
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _MADE:
+            _MADE[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomline-", dir=os.environ.get("LOOMLINE_TMP"))
+        base = _MADE[context.applicationId]
     return base.rstrip("/")
 
 
