@@ -1,11 +1,11 @@
 """How the sources of a language differ in their terms, with the frequent terms found by iceberg prefix refinement.
 
 A term is a run of letters A-Z and of characters beyond ASCII, A-Z in lower case. Texts are read once: each task counts,
-for the texts of a batch, the occurrences of each term by language and source, and in how many rows each byte prefix
-of 2, 4, 8, ... bytes occurs, by language; rows are whole in a batch, so these add up. Then, level by level, the
+for the texts of a batch and by language, in how many rows each byte prefix of 2, 4, 8, ... bytes occurs, and each whole
+term, with its occurrences by source; rows are whole in a batch, so these add up. Then, level by level, the
 counts of the prefixes that extend those kept so far are summed, and prefixes in fewer than `least` rows are discarded
 with all that extends them; a term is complete at the first level that is as long as it, and the loop ends when every kept
-prefix is a whole term. So the long tail of rare terms is never shuffled whole. Kept prefixes are broadcast only up to a stated size, else joined.
+prefix is a whole term. So the long tail of rare terms is never shuffled whole. Kept prefixes and terms are broadcast only up to a stated size, else joined.
 
 Sources are then compared over blocks of terms and tiles of sources: each task fills a small matrix, sums absolute
 differences of shares per pair of sources, and sums of blocks are added; no pair is emitted per term. Arithmetic is
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import if_small, lean_batches, merged, read_documents
 from loomline.llm.tokens import array_of, bytes_of
-from loomline.session import Scratch, scratch, written
+from loomline.session import Scratch, written
 
 LEAST, TOP = 30, 50
 #: Terms of a block, and sources of a tile, at most about.
 TERMS, TILE = 1024, 256
 #: Prefixes broadcast at most: so many rows, and so many bytes.
 ROWS, BYTES = 50_000, 4_000_000
+#: The same for kept terms.
+TERM_ROWS, TERM_BYTES = 400_000, 8_000_000
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -70,11 +72,11 @@ def _pairs(a: np.ndarray, b: np.ndarray, n: int, weight: np.ndarray | None = Non
     return key[at] // n, key[at] % n, n_each
 
 
-_TOLD = "level int, lang string, source string, term binary, whole boolean, n long"
+_TOLD = "level int, lang string, term binary, whole boolean, n long, counts array<struct<source:string,n:long>>"
 
 
 def gathered(docs: DataFrame) -> DataFrame:
-    """From rows (lang, source, text): level 0 has occurrences n of a term by language and source; level L rows n with a prefix of L bytes, or a whole term no longer, by language."""
+    """From rows (lang, source, text): for each level L, in how many rows n of a language a prefix of L bytes occurs, or a whole term no longer, with its occurrences by source."""
 
     def run(batches):
         for batch in merged(batches, "text", 1 << 23):
@@ -85,31 +87,32 @@ def gathered(docs: DataFrame) -> DataFrame:
             of_lang, of_source = (x.indices.to_numpy().astype(np.int64) for x in (lang, source))
             sizes, many = pc.binary_length(terms).to_numpy(zero_copy_only=False), len(terms)
 
-            def rows(level, langs, codes, words, whole, n, sources=None):
+            def rows(level, langs, codes, words, n, counts=None):
                 k = len(langs)
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, level, np.int32)), lang.dictionary.take(pa.array(langs)), pa.nulls(k, pa.string()) if sources is None else source.dictionary.take(pa.array(sources)), words.take(pa.array(codes)), pa.array(np.full(k, whole)), pa.array(n.astype(np.int64))],
-                    names=["level", "lang", "source", "term", "whole", "n"],
+                    [pa.array(np.full(k, level, np.int32)), lang.dictionary.take(pa.array(langs)), words.take(pa.array(codes)), pa.array(np.full(k, counts is not None)), pa.array(n.astype(np.int64)), pa.nulls(k, kind) if counts is None else counts],
+                    names=["level", "lang", "term", "whole", "n", "counts"],
                 )
 
             doc, code, times = _pairs(own, code, many)
-            group = of_lang * len(source.dictionary) + of_source
-            g, c, n = _pairs(group[doc], code, many, times)
-            yield rows(0, g // len(source.dictionary), c, terms, True, n, g % len(source.dictionary))
+            each, at, n = _pairs(of_lang[doc] * many + code, of_source[doc], len(source.dictionary), times)  # by language and term, then by source
+            first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+            counts = pa.ListArray.from_arrays(pa.array(np.append(first, len(each)).astype(np.int32)), pa.StructArray.from_arrays([source.dictionary.take(pa.array(at)), pa.array(n.astype(np.int64))], ["source", "n"]))
+            kind, whole_lang, whole_code = counts.type, each[first] // many, each[first] % many
+            whole_rows = _pairs(of_lang[doc], code, many)[2]
             level, longest = 2, int(sizes.max())
             while True:
-                size = sizes[code]
+                size = sizes[whole_code]
                 done = (size <= level) & ((size > level // 2) | (level == 2))
-                a, c, n = _pairs(of_lang[doc[done]], code[done], many)
-                yield rows(level, a, c, terms, True, n)
+                yield rows(level, whole_lang[done], whole_code[done], terms, whole_rows[done], counts.filter(pa.array(done)))
                 if longest <= level:
                     break
-                more = size > level
+                more = sizes[code] > level
+                doc, code = doc[more], code[more]
                 cut = pc.binary_slice(terms, 0, level).dictionary_encode()
-                d, p, _ = _pairs(doc[more], cut.indices.to_numpy().astype(np.int64)[code[more]], len(cut.dictionary))
+                d, p, _ = _pairs(doc, cut.indices.to_numpy().astype(np.int64)[code], len(cut.dictionary))
                 a, p, n = _pairs(of_lang[d], p, len(cut.dictionary))
-                yield rows(level, a, p, cut.dictionary, False, n)
-                doc, code = doc[more], code[more]
+                yield rows(level, a, p, cut.dictionary, n)
                 level *= 2
 
     return docs.mapInArrow(run, _TOLD)
@@ -190,11 +193,11 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "
     spark = docs.sparkSession
     rows = lean_batches(docs).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     with Scratch(spark) as tables:
-        tables.paths.append(at := scratch(spark, "terms-told"))
-        gathered(rows).write.partitionBy("level").parquet(at)
-        told = spark.read.schema(_TOLD).parquet(at)
+        told = tables.written(gathered(rows), "terms-told")
         kept = frequent_terms(told, least, tables)
-        counts = told.where(F.col("level") == 0).select("lang", "source", "term", "n").join(kept, ["lang", "term"], "left_semi")
+        n, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.length("term") + F.length("lang")), F.lit(0))).first()
+        few = F.broadcast(kept) if n <= TERM_ROWS and size <= TERM_BYTES else kept
+        counts = told.where("whole").select("lang", "term", "counts").join(few, ["lang", "term"], "left_semi").select("lang", "term", F.inline("counts"))
         counts = tables.written(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
         by_lang = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_distinct("term").alias("terms"))  # a row per language
         sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
