@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.plans import columns, files, graphs, profiles, records, relational, scalars, state  # noqa: F401
+from loomline.plans import columns, files, graphs, profiles, records, relational, scalars, state, trees  # noqa: F401
 from loomline.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "pricing_summary"

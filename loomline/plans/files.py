@@ -46,10 +46,10 @@ def appended_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path)
 
 
-@query(f"""WITH e AS ({_EDGES}) SELECT '%%MatrixMarket matrix coordinate real general' AS value UNION ALL SELECT '10 20 ' || count(*) FROM e UNION ALL SELECT (src + 1) || ' ' || (dst + 1) || ' ' || weight FROM e""")
+@query(f"""WITH e AS ({_EDGES}) SELECT '%%MatrixMarket matrix coordinate real general' AS value UNION ALL SELECT (greatest(max(src), max(dst)) + 1) || ' ' || (greatest(max(src), max(dst)) + 1) || ' ' || count(*) FROM e UNION ALL SELECT (src + 1) || ' ' || (dst + 1) || ' ' || weight FROM e""")
 def matrix_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The graph of parts as the text of a sparse matrix."""
-    return sinks.matrix_market_lines(supply_edges(spark, sf), 10, 20).select("value")
+    return sinks.matrix_market_lines(supply_edges(spark, sf)).select("value")
 
 
 @query(f"""SELECT '  n' || src || ' -> n' || dst || ';' AS value FROM ({_EDGES})""")

@@ -129,8 +129,9 @@ def strong_components(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.strong_components(supply_edges(spark, sf).select("src", "dst").unionByName(back).distinct())
 
 
-@query(f"""WITH e AS ({_EDGES}), g AS (SELECT p_partkey AS node FROM part WHERE p_size > 25), p AS (SELECT * FROM e UNION ALL SELECT a.src, b.dst, a.weight + b.weight FROM e AS a JOIN e AS b ON a.dst = b.src WHERE a.dst IN (SELECT node FROM g))
-SELECT src, dst, min(weight) AS weight FROM p WHERE src NOT IN (SELECT node FROM g) AND dst NOT IN (SELECT node FROM g) AND src <> dst GROUP BY ALL""")
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), g AS (SELECT p_partkey AS node FROM part WHERE p_size > 25), p(src, dst, weight) AS (SELECT * FROM e WHERE src NOT IN (SELECT node FROM g)
+UNION SELECT p.src, e.dst, p.weight + e.weight FROM p JOIN e ON e.src = p.dst WHERE p.dst IN (SELECT node FROM g))
+SELECT src, dst, min(weight) AS weight FROM p WHERE dst NOT IN (SELECT node FROM g) AND src <> dst GROUP BY ALL""")
 def eliminated(spark: SparkSession, sf: str) -> DataFrame:
     """The graph of parts led past those of over 25 in size."""
     return graphs.without_nodes(supply_edges(spark, sf), t(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("node")))

@@ -28,9 +28,10 @@ def append_json(df: DataFrame, path: str, run: str) -> None:
     df.withColumn("run", F.lit(run)).write.mode("append").json(path)
 
 
-def matrix_market_lines(edges: DataFrame, rows: int, columns: int) -> DataFrame:
-    """The text of a sparse matrix, in order: a header, its size, then "row column value" from 1 on. Columns: at, value."""
-    n = edges.agg(F.concat_ws(" ", F.lit(rows), F.lit(columns), F.count("*")).alias("value")).select(F.array(*map(F.lit, (1, 0, 0))).cast("array<long>").alias("at"), "value")
+def matrix_market_lines(edges: DataFrame) -> DataFrame:
+    """The text of a square sparse matrix, in order: a header, its sizes, which are those of the greatest node, then "row column value" from 1 on. Columns: at, value."""
+    size = F.coalesce(F.greatest(F.max("src"), F.max("dst")).cast("long") + 1, F.lit(0))
+    n = edges.agg(F.concat_ws(" ", size, size, F.count("*")).alias("value")).select(F.array(*map(F.lit, (1, 0, 0))).cast("array<long>").alias("at"), "value")
     head = edges.sparkSession.range(1).select(F.array(*map(F.lit, (0, 0, 0))).cast("array<long>").alias("at"), F.lit("%%MatrixMarket matrix coordinate real general").alias("value"))
     body = edges.select(F.array(F.lit(2).cast("long"), F.col("src").cast("long"), F.col("dst").cast("long")).alias("at"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "weight").alias("value"))
     return head.unionByName(n).unionByName(body).orderBy("at")

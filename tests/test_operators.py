@@ -1,5 +1,6 @@
 import pytest
 
+from loomline.sources import sinks
 from loomline.operators import graphs, joins
 
 
@@ -20,3 +21,15 @@ def test_nearest_takes_any_number_of_queries(spark):
     queries = spark.range(5003).selectExpr("id", "array(double(id % 5), 1.0D) AS v")
     got = {(r.query, r.id, r.dist2) for r in joins.nearest(queries, points, 1).collect()}
     assert got == {(q, q % 5, 1.0) for q in range(5003)}
+
+
+def test_a_sparse_matrix_can_be_read_back(spark):
+    rows = [(0, 4, 1.5), (4, 0, 2.0), (2, 2, -1.0)]
+    lines = [r.value for r in sinks.matrix_market_lines(spark.createDataFrame(rows, "src long, dst long, weight double")).collect()]
+    assert lines[0] == "%%MatrixMarket matrix coordinate real general"
+    n, m, many = map(int, lines[1].split())
+    entries = [(int(a), int(b), float(w)) for a, b, w in map(str.split, lines[2:])]
+    assert (n, m, many) == (5, 5, len(rows)) and all(1 <= a <= n and 1 <= b <= m for a, b, _ in entries)
+    assert sorted((a - 1, b - 1, w) for a, b, w in entries) == sorted(rows)
+    none = sinks.matrix_market_lines(spark.createDataFrame([], "src long, dst long, weight double"))
+    assert [r.value for r in none.collect()][1] == "0 0 0"
