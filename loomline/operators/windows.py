@@ -82,3 +82,17 @@ def global_places(df: DataFrame, order: list[str], kept: Column) -> DataFrame:
     before = F.sum("_one").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_one")
     placed = rows.withColumns({"place": F.row_number().over(within) - 1, "kept_before": before}).join(sums, "_part")
     return placed.withColumns({"place": F.col("place") + F.col("_n"), "kept_before": F.col("kept_before") + F.col("_k")}).drop("_one", "_part", "_n", "_k")
+
+
+def running_sums(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """df with <s>_to for each of sums: its sum over all rows up to and with this one, in the whole order, which no two rows share.
+
+    Two levels, as in global_places: each range partition adds up its own rows, and what precedes a partition is summed over a row per partition.
+    """
+    rows = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    totals = rows.groupBy("_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}") for s in sums])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.withColumns({f"{s}_to": F.sum(s).over(within) for s in sums}).join(totals, "_part")
+    return told.withColumns({f"{s}_to": F.col(f"{s}_to") + F.col(f"_{s}") for s in sums}).drop("_part", *[f"_{s}" for s in sums])
