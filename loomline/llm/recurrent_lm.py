@@ -429,7 +429,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     both = scored.join(sums, F.col("row") == F.col("s_row"), "left")
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
     both = written(both.select("doc_id", "key", "n_tokens", (F.col("known") + more).alias("n_known"), (F.col("base") + logs).alias("base"), (F.col("net") + F.col("inner") + logs).alias("all")), "lm-scores")
-    alike = both.groupBy(F.col("key").alias("text_key")).agg(F.min("base").alias("base_score"), F.min("all").alias("score"))
+    alike = written(both.groupBy(F.col("key").alias("text_key")).agg(F.min("base").alias("base_score"), F.min("all").alias("score")), "lm-texts")  # so that Spark can split the rows of one text
     return both.join(alike, F.col("key") == F.col("text_key")).select("doc_id", "n_tokens", "n_known", F.lit(know.N).cast("long").alias("train_tokens"), "base_score", "score")
 
 
