@@ -9,7 +9,8 @@ from loomline.plans.registry import query
 from loomline.session import scratch
 from loomline.session import table as t
 from loomline.sources import sinks, text
-from loomline.streaming import keyed
+from loomline.streaming import keyed, stateful
+from loomline.streaming.tail import LogTail
 
 
 @query("""SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
@@ -70,3 +71,48 @@ def fact_maps(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT role, count(*) AS n, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM conversations GROUP BY role""")
 def line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", "\n"))).alias("lines"))
+
+
+def _run(spark: SparkSession, source: DataFrame, make, mode: str, label: str) -> DataFrame:
+    """Rows of a stream over a table that is written first, with the batch that gave them; it runs until all is read."""
+    folder, out = scratch(spark, label), scratch(spark, f"{label}-out")
+    source.write.parquet(folder)
+    with stateful.rocksdb(spark):
+        stream = make(spark.readStream.schema(source.schema).parquet(folder))
+        keep = lambda df, batch: df.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(out)
+        q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark, f"{label}-state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+
+
+@query("""WITH l AS (SELECT user_id // 10 AS node, user_id, max(ts) AS seen FROM events GROUP BY ALL) SELECT node, list_sort(list(user_id)) AS producers
+FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seen DESC, user_id DESC) AS k FROM l) WHERE k <= 4 GROUP BY node""")
+def recent_users(spark: SparkSession, sf: str) -> DataFrame:
+    """The four users of each ten that were active last, from a stream with bounded state."""
+    rows = t(spark, sf, "events").select(F.expr("user_id div 10").alias("node"), "user_id", "ts")
+    out = _run(spark, rows, lambda s: stateful.recent_producers(s, "node", "user_id", "ts", 4), "update", "recent")
+    return out.groupBy("node").agg(F.max_by("producers", "batch").alias("producers"))
+
+
+@query("""WITH v AS (SELECT user_id % 20 AS ballot, (epoch_us(ts) // 86400000000 + 1) * 86400000 AS end_ms, user_id, event_type, ts FROM events), l AS (SELECT ballot, end_ms, user_id, arg_max(event_type, (ts, event_type)) AS choice FROM v GROUP BY ALL),
+c AS (SELECT ballot, end_ms, choice, count(*) AS votes, sum(count(*)) OVER (PARTITION BY ballot, end_ms) AS voters, row_number() OVER (PARTITION BY ballot, end_ms ORDER BY count(*) DESC, choice) AS k FROM l GROUP BY ballot, end_ms, choice)
+SELECT ballot, end_ms, voters::BIGINT AS voters, choice, votes FROM c WHERE k = 1 AND end_ms <= (SELECT max(epoch_ms(ts)) FROM events) - 3600000""")
+def daily_ballots(spark: SparkSession, sf: str) -> DataFrame:
+    """What most users of a ballot did last each day, from a stream that closes days by event time."""
+    rows = t(spark, sf, "events").select((F.col("user_id") % 20).alias("ballot"), "user_id", "event_type", "ts")
+    return _run(spark, rows, lambda s: stateful.ballots(s, "ballot", "user_id", "event_type", "ts", 86_400, "1 hour"), "append", "ballots").drop("batch")
+
+
+@query("""SELECT event_type, count(*) AS lines, sum(length(event_type) + length(event_id::VARCHAR) + 1)::BIGINT AS chars FROM events GROUP BY 1""")
+def tailed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as lines of log files, read by a stream that keeps byte offsets: half of them there at first, the others added before it starts again."""
+    spark.dataSource.register(LogTail)
+    folder, out, state = (scratch(spark, x) for x in ("log", "log-lines", "log-state"))
+    line = t(spark, sf, "events").select(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value"), "event_id")
+    for part in (0, 1):
+        line.where(F.col("event_id") % 2 == part).select("value").write.mode("append").text(folder)
+        stream = spark.readStream.format("log_tail").option("path", folder).option("glob", "part-*").load()
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    lines = spark.read.schema("line string").parquet(out)
+    return lines.groupBy(F.split("line", " ")[0].alias("event_type")).agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
