@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.counters import threefry
 from loomline.session import written
 
 
@@ -96,3 +97,13 @@ def running_sums(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     told = rows.withColumns({f"{s}_to": F.sum(s).over(within) for s in sums}).join(totals, "_part")
     return told.withColumns({f"{s}_to": F.col(f"{s}_to") + F.col(f"_{s}") for s in sums}).drop("_part", *[f"_{s}" for s in sums])
+
+
+def shuffled(df: DataFrame, ident: str, key: tuple[int, int, int, int], draw: int = 0) -> DataFrame:
+    """df with place, from 0: its rows in a random order that depends on the key, the number of the draw and the rows' whole-number ids alone, not on how they lie.
+
+    A row is placed by its own random words, so the order takes one sort by range; rows with the same id, or without one, stand in any order among each other.
+    """
+    words = threefry([F.coalesce(F.col(ident), F.lit(-1)), F.lit(draw), F.lit(0), F.lit(0)], key)
+    rows = df.withColumn("_w", words).withColumns({"_w0": F.col("_w")[0], "_w1": F.col("_w")[1]}).drop("_w")
+    return global_places(rows, ["_w0", "_w1"], F.lit(False)).drop("_w0", "_w1", "kept_before")
