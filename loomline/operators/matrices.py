@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import written
+
 
 def entries(df: DataFrame, row: str, vector: str) -> DataFrame:
     return df.select(F.col(row).alias("i"), F.posexplode(vector).alias("j", "value")).select("i", "j", F.col("value").cast("double").alias("value"))
@@ -22,10 +26,13 @@ def transpose(a: DataFrame) -> DataFrame:
 
 
 def softmax_rows(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """df with `weight`, which sums to 1 over each key."""
-    w = Window.partitionBy(*keys)
-    e = df.withColumn("e", F.exp(F.col(value) - F.max(value).over(w)))
-    return e.withColumn("weight", F.col("e") / F.sum("e").over(w)).drop("e")
+    """df with `weight`, which sums to 1 over each key. A key's greatest value and its sum are aggregated before they are shuffled, and met in joins that split a hot key."""
+    names = {k: f"_{k}" for k in keys}
+    same = lambda other: reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(other[n]) for k, n in names.items()], F.lit(True))
+    top = written(df.groupBy(*keys).agg(F.max(value).alias("_top")).withColumnsRenamed(names), "softmax")
+    e = df.join(top, same(top)).drop(*names.values()).withColumn("_e", F.exp(F.col(value) - F.col("_top")))
+    total = written(e.groupBy(*keys).agg(F.sum("_e").alias("_total")).withColumnsRenamed(names), "softmax")
+    return e.join(total, same(total)).withColumn("weight", F.col("_e") / F.col("_total")).select(*df.columns, "weight")
 
 
 def scatter_add(df: DataFrame, index: str, value: str) -> DataFrame:

@@ -107,3 +107,65 @@ def shuffled(df: DataFrame, ident: str, key: tuple[int, int, int, int], draw: in
     words = threefry([F.coalesce(F.col(ident), F.lit(-1)), F.lit(draw), F.lit(0), F.lit(0)], key)
     rows = df.withColumn("_w", words).withColumns({"_w0": F.col("_w")[0], "_w1": F.col("_w")[1]}).drop("_w")
     return global_places(rows, ["_w0", "_w1"], F.lit(False)).drop("_w0", "_w1", "kept_before")
+
+
+def _named(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[str]]:
+    names = [f"_o{k}" for k in range(len(order))]
+    return df.withColumns(dict(zip(names, order))), names
+
+
+def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
+    out = F.lit(True)
+    for c in cols:
+        out = out & a[c].eqNullSafe(b[f"{c}_b"])
+    return out
+
+
+def ranks(df: DataFrame, keys: list[str], order: list[Column], falling: bool = False) -> DataFrame:
+    """df with place: equal rows share the first place of a key, and the next one skips. A key's rows may lie on any number of tasks.
+
+    Rows are counted by key and value, the counts are added up in order over range partitions, and each row meets its value's place in a join. Nulls come first, or last if falling.
+    """
+    rows, names = _named(df, order)
+    counts = rows.groupBy(*keys, *names).agg(F.count("*").alias("_n"))
+    told = written(running_sums(counts, [*keys, *[F.desc(c) if falling else F.asc(c) for c in names]], ["_n"]), "ranks")
+    first = told.groupBy(*keys).agg(F.min(F.col("_n_to") - F.col("_n")).alias("_first")).withColumnsRenamed({k: f"{k}_b" for k in keys})
+    values = told.join(first, _same(told, first, keys)).select(*[F.col(c).alias(f"{c}_b") for c in [*keys, *names]], (F.col("_n_to") - F.col("_n") - F.col("_first") + 1).alias("place"))
+    values = written(values, "places")
+    return rows.join(values, _same(rows, values, [*keys, *names])).select(*df.columns, "place")
+
+
+def strict_ranks(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """df with place: 1, 2, ... within each key by an order that tells its rows apart; a key's rows may lie on any number of tasks."""
+    placed = written(global_places(df, [*keys, *order], F.lit(False)), "strict")
+    first = placed.groupBy(*keys).agg(F.min("place").alias("_first")).withColumnsRenamed({k: f"{k}_b" for k in keys})
+    return placed.join(first, _same(placed, first, keys)).select(*df.columns, (F.col("place") - F.col("_first") + 1).alias("place"))
+
+
+def percentiles(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """(key, p0, p1, ...): for each share, the value at that place of a key's values in order, between two of them in proportion. Nulls do not count. No task holds a key's values."""
+    rows = df.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL").groupBy("key", "v").agg(F.count("*").alias("n"))
+    told = written(running_sums(rows, ["key", "v"], ["n"]), "percentiles")
+    ends = told.groupBy("key").agg(F.min(F.col("n_to") - F.col("n")).alias("first"), F.max("n_to").alias("last")).withColumnRenamed("key", "key_b")
+    placed = told.join(ends, told["key"].eqNullSafe(ends["key_b"])).withColumns({"from": F.col("n_to") - F.col("n") - F.col("first"), "to": F.col("n_to") - F.col("first")})
+    picks = []
+    for k, share in enumerate(shares):
+        at = (F.col("last") - F.col("first") - 1) * share
+        holds = lambda c: (c >= F.col("from")) & (c < F.col("to"))
+        low, part = F.floor(at), at - F.floor(at)
+        picks.append((F.max(F.when(holds(low), F.col("v") * (1 - part))) + F.max(F.when(holds(F.least(low + 1, F.col("last") - F.col("first") - 1)), F.col("v") * part))).alias(f"p{k}"))
+    return placed.groupBy("key").agg(*picks)
+
+
+def rolling_over(df: DataFrame, value: str, keys: list[str], order: list[str], rows: int, bucket: int = 1 << 20) -> DataFrame:
+    """df with mean and variance (of the population) of the last `rows` rows of its key, this one included.
+
+    Rows are numbered in the order of keys and `order` and dealt to buckets of that many; the last ones of a bucket are dealt to the next one too, where they are only
+    looked back at. So a key's rows are as many tasks as they fill.
+    """
+    placed = written(global_places(df, [*keys, *order], F.lit(False)).drop("kept_before"), "rolling")
+    own, last = F.expr(f"place div {bucket}"), F.col("place") % bucket >= bucket - (rows - 1)
+    dealt = placed.withColumn("_b", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("_b", *keys).orderBy("place").rowsBetween(-(rows - 1), 0)
+    told = dealt.withColumns({"mean": F.avg(value).over(w), "variance": F.var_pop(value).over(w)})
+    return told.where(F.col("_b") == own).drop("_b", "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.operators import folds, optimal, windows
+from loomline.operators import blocks, folds, matrices, optimal, windows
 from loomline.plans.registry import query
 from loomline.plans.trees import _TYPES
 from loomline.session import table as t
@@ -42,3 +42,17 @@ def hourly_trend(spark: SparkSession, sf: str) -> DataFrame:
 def shuffled_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders in a random order that any layout of the table gives."""
     return windows.shuffled(t(spark, sf, "orders").select("o_orderkey"), "o_orderkey", (1, 2, 3, 4))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(64)) AS j FROM embeddings) SELECT a.j AS i, b.j, round(sum(a.v * b.v), 4) AS value FROM e AS a JOIN e AS b USING (vec_id) GROUP BY ALL""")
+def gram_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings as one matrix of blocks, times itself the other way round."""
+    x = matrices.entries(t(spark, sf, "embeddings"), "vec_id", "embedding")
+    tall, flat = blocks.to_blocks(x), blocks.to_blocks(matrices.transpose(x))
+    return blocks.to_entries(blocks.product(flat, tall)).select("i", "j", F.round("value", 4).alias("value"))
+
+
+@query()
+def orthonormal_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every embedding in axes in which the columns of all of them are orthonormal."""
+    return blocks.orthonormal(t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("axes")), "axes")

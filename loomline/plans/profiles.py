@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import more
-from loomline.operators import graphs
+from loomline.operators import graphs, windows
 from loomline.plans.graphs import _EDGES, supply_edges
 from loomline.plans.registry import query
 from loomline.session import table as t
@@ -16,7 +16,9 @@ from loomline.session import table as t
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Per kind of event: finite values, and their least, median, ninth decile and greatest."""
     rows = t(spark, sf, "events").where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    return rows.groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.percentile("value", 0.5).alias("mid"), F.round(F.percentile("value", 0.9), 9).alias("p90"), F.max("value").alias("high"))
+    ends = rows.groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    marks = windows.percentiles(rows, "event_type", "value", [0.5, 0.9]).select(F.col("key").alias("event_type"), F.col("p0").alias("mid"), F.round("p1", 9).alias("p90"))
+    return ends.join(marks, "event_type")
 
 
 @query("""SELECT event_type, count(*) AS users, round(sum(value), 4) AS total, max(epoch_us(ts)) AS newest, count(*) FILTER (value < 10) AS late FROM (SELECT DISTINCT ON (user_id) * FROM events ORDER BY user_id, ts DESC, event_id DESC) GROUP BY event_type""")

@@ -126,12 +126,14 @@ def event_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY floor(o_totalprice / 1000) DESC) AS place FROM orders""")
 def rank_competition(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders").select("o_orderkey", windows.competition_rank(["o_orderstatus"], [F.desc(F.floor(F.col("o_totalprice") / 1000))]).cast("long").alias("place"))
+    rows = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.floor(F.col("o_totalprice") / 1000).alias("price"))
+    return windows.ranks(rows, ["o_orderstatus"], [F.col("price")], falling=True).select("o_orderkey", "place")
 
 
 @query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY floor(o_totalprice / 1000) DESC, o_orderkey) AS place FROM orders""")
 def rank_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders").select("o_orderkey", windows.strict_rank(["o_orderstatus"], [F.desc(F.floor(F.col("o_totalprice") / 1000))], ["o_orderkey"]).cast("long").alias("place"))
+    rows = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.floor(F.col("o_totalprice") / 1000).alias("price"))
+    return windows.strict_ranks(rows, ["o_orderstatus"], [F.desc("price"), F.asc("o_orderkey")]).select("o_orderkey", "place")
 
 
 @query("""WITH b AS (SELECT l_partkey, l_suppkey, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL),
@@ -154,8 +156,8 @@ def trailing_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT event_id, round(avg(value) OVER w, 9) AS mean, round(var_pop(value) OVER w, 2) AS variance FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def rolling_moments(spark: SparkSession, sf: str) -> DataFrame:
-    mean, variance = windows.rolling("value", ["event_type"], ["ts", "event_id"], 60)
-    return t(spark, sf, "events").select("event_id", F.round(mean, 9).alias("mean"), F.round(variance, 2).alias("variance"))
+    rows = windows.rolling_over(t(spark, sf, "events").select("event_id", "event_type", "ts", "value"), "value", ["event_type"], ["ts", "event_id"], 60)
+    return rows.select("event_id", F.round("mean", 9).alias("mean"), F.round("variance", 2).alias("variance"))
 
 
 @query("""WITH i AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + 3600000000 AS e FROM events),
