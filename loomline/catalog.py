@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.plans import boxes, choices, columns, files, graphs, intervals, profiles, records, relational, scalars, state, trees  # noqa: F401
+from loomline.plans import boxes, choices, columns, files, graphs, intervals, profiles, records, relational, scalars, state, trees, values  # noqa: F401
 from loomline.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "pricing_summary"
