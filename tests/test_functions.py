@@ -50,7 +50,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.member, bytes(r.content)) for r in text.archive_members(spark, str(tmp_path / "z.zip"), ".txt").collect()] == [("m/one.txt", b"1")]
     assert text.listing(spark, str(tmp_path), "*.txt").count() == 2
     e = spark.createDataFrame([(0, 1, 2.5)], "src long, dst long, weight double")
-    assert [r.value for r in sinks.matrix_market_lines(e, 3, 3).collect()] == ["%%MatrixMarket matrix coordinate real general", "3 3 1", "1 2 2.5"]
+    assert [r.value for r in sinks.matrix_market_lines(e).collect()] == ["%%MatrixMarket matrix coordinate real general", "2 2 1", "1 2 2.5"]
     assert [r.value for r in sinks.dot_lines(e).collect()] == ["  n0 -> n1;"]
     sinks.append_json(e, str(tmp_path / "out"), "r1")
     sinks.append_json(e, str(tmp_path / "out"), "r2")
