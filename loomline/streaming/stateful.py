@@ -14,18 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+}
 
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """Streams that start inside keep their state in RocksDB; the session's own setting comes back afterwards."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams that start inside keep their state in RocksDB, and run a batch without data where a new watermark calls for one; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k) for k in _SETTINGS}
     try:
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class _Recent(StatefulProcessor):

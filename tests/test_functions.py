@@ -66,6 +66,7 @@ def test_latest_stream(spark, tmp_path):
     q = keyed.stream_latest(stream, "key", "at", "value").writeStream.outputMode("update").format("memory").queryName("latest").trigger(availableNow=True).start()
     q.awaitTermination(60)
     q.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     last = {r.key: r.value for r in spark.table("latest").orderBy("at_us").collect()}
     assert last == {1: 2.0, 2: 9.0}
 
