@@ -66,7 +66,8 @@ def word_counts(rows: DataFrame, letters: int = LETTERS) -> DataFrame:
             for h, c, n in zip(hashes[wrong].tolist(), code[wrong].tolist(), times[wrong].tolist()):
                 w = words[c].decode()
                 k = h % len(w)
-                new[w := w[:k] + w[k + 1 :]] = new.get(w, 0) + n
+                w = w[:k] + w[k + 1 :]
+                new[w] = new.get(w, 0) + n
             both = pa.concat_arrays([found.cast(pa.string()), pa.array(list(new), pa.string())])
             n = pa.array(np.concatenate([total, np.fromiter(new.values(), np.int64, len(new))]))
             keep = pc.and_(pc.greater_equal(pc.utf8_length(both), letters), pc.greater(n, 0))

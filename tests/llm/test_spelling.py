@@ -63,6 +63,14 @@ def test_counts(spark):
     assert any(one_apart(r.word, w) for r in got for w in ("misspelling", "words", "happens", "these"))
 
 
+def test_misspellings_of_a_batch_add_up(spark):
+    rows = [(k, "bookkeeper, aaaaaaaa", "a") for k in range(8000)]
+    want = counted(rows, S.LETTERS)
+    got = S.word_counts(texts(documents(spark, rows).coalesce(1))).collect()
+    assert {r.word: r.n for r in got} == dict(want) and want["aaaaaaa"] > 20
+    assert sum(r.n for r in got) == 2 * len(rows)
+
+
 def test_neighbours_of_random_words(spark):
     rnd = random.Random(4)
     counts = {"".join(rnd.choice("aabé") for _ in range(rnd.randrange(1, 8))): rnd.choice([1, 1, 2, 5, 20, 100]) for _ in range(500)}
