@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word shingles at a Jaccard similarity of 0.8 or more: the one with the least id."""
+    """One document of each group of near copies, five-word shingles at a Jaccard similarity of 0.8 or more, found by fingerprints in operator 3's Gray-order index and by bands: the one with the least id."""
     return near_copies.keep_first(docs)
 
 

@@ -1,9 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Texts with one set of shingles are one node. Of the nodes that share a band with another, one text each is read
-again for its shingles, so that no other text's are kept. Nodes that share a band of BAND minima under one of BANDS hashes
-are compared, and only pairs whose exact similarity (of the sets of 64-bit digests) suffices are linked. A pair at
-0.8 shares no band with a probability of 7 in 100,000, closer pairs far more seldom.
+Texts with one set of shingles are one node, with a SimHash fingerprint. All fingerprints go through operator 3's
+Gray-order hierarchical index (simhash.py); what it finds within MOST_BITS bits is compared exactly and, where similar, linked. Few pairs at
+0.8 are that close, so nodes that share a band of BAND minima under one of BANDS hashes are compared too. Of the nodes that are
+compared, one text each is read again for its shingles, so that no other text's are kept, and only pairs whose exact
+similarity (of the sets of 64-bit digests) suffices are linked. A pair at 0.8 shares no band with a probability
+of 7 in 100,000, closer pairs far more seldom.
 
 A bucket of few nodes compares all its pairs. A larger one compares some of its nodes with all others, four times as
 many in each round, and never two that are linked already: so a large group of near copies is done after a round or
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.llm import simhash
 from loomline.llm.common import components, if_small, lean_batches, row_key
 from loomline.session import Scratch, written
 
@@ -56,16 +59,25 @@ def bands(codes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(codes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of digests, as a signed 64-bit integer: a bit is set if over half of them have it."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(codes), 1 << 16):
+        votes += np.unpackbits(codes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(codes), bitorder="little").view("<i8")[0])
+
+
 #: Nodes whose texts are found by a broadcast of their ids; beyond, by a shuffle.
 BROADCAST = 500_000
-_SKETCH = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_SKETCH = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])
 
 
 @F.arrow_udf(_SKETCH)
 def _sketch(text: pa.Array) -> pa.Array:
     sets = [shingles(x or "") for x in text.to_pylist()]
     nodes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-    return pa.StructArray.from_arrays([nodes, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["node", "bands"])
+    prints = pa.array([fingerprint(s) for s in sets], pa.int64())
+    return pa.StructArray.from_arrays([nodes, pa.array([bands(s) for s in sets], pa.list_(pa.int64())), prints], ["node", "bands", "fp"])
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -84,19 +96,38 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _close(rows: DataFrame, held: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes to compare, from rows (node, fp): the least nodes of fingerprints that the Gray-order index links, and those of one fingerprint."""
+    least = held.written(rows.groupBy("fp").agg(F.min("node").alias("node")), "copies-prints")
+    named = lambda fp, node: least.select(F.col("fp").alias(fp), F.col("node").alias(node))
+    linked = simhash.link(least.select("fp"), keep=held.written).withColumnsRenamed({"a": "x", "b": "y"}).join(named("x", "a"), "x").join(named("y", "b"), "y").select("a", "b")
+    same = rows.select("fp", F.col("node").alias("b")).join(named("fp", "a"), "fp").where("a <> b").select("a", "b")
+    return held.written(linked.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-close")
+
+
+def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
+    label = found.withColumnsRenamed({"node": "of", "component": "is"})
+    return live.join(label, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("is", "node").alias("component"))
+
+
 def link(rows: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFrame | None:
-    """Rows (node, component) of all linked nodes, from rows (doc_id, tkey, node, bands) and their texts (doc_id, tkey, text); None without any."""
-    found, label = None, None
+    """Rows (node, component) of all linked nodes, from rows (doc_id, tkey, node, bands, fp) and their texts (doc_id, tkey, text); None without any."""
+    found = None
     with Scratch(rows.sparkSession) as held:
         live = rows.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
         shared = live.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
         live = held.written(live.join(shared, "key").select("key", "node", F.col("node").alias("component")), "copies-buckets")
         one = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tkey")).alias("r")
-        reps = rows.join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(one).select("node", F.col("r.doc_id").alias("r_id"), F.col("r.tkey").alias("r_tkey"))
+        close = _close(rows, held)
+        met = live.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+        reps = rows.join(met, "node", "left_semi").groupBy("node").agg(one).select("node", F.col("r.doc_id").alias("r_id"), F.col("r.tkey").alias("r_tkey"))
         reps = if_small(held.written(reps, "copies-read"), BROADCAST)
         read = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
         met = held.written(read.dropDuplicates(["node"]).select("node", _shingles("text").alias("shingles")), "copies-sets")
-        edges, parts, old = None, 1, held
+        edges, parts, old = held.written(_similar(close, met), "copies-edges"), 1, held
+        if edges.limit(1).count():
+            found = components(edges, "copies")
+            live = _labelled(live, found)
         while True:
             new = Scratch(rows.sparkSession)
             # a bucket whose nodes are all linked is done
@@ -115,11 +146,10 @@ def link(rows: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFrame | N
             pairs = one.join(live, "key").where((F.col("a") != F.col("node")) & (F.col("ca") != F.col("component")))
             pairs = new.written(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "copies-pairs")
             links = held.written(_similar(pairs, met), "copies-edges")
-            edges = links if edges is None else edges.unionByName(links)
+            edges = edges.unionByName(links)
             found = components(edges, "copies")
             left = many.drop("component", "m").join(first.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-            label = found.withColumnsRenamed({"node": "of", "component": "is"})
-            live = left.join(label, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("is", "node").alias("component"))
+            live = _labelled(left, found)
             parts *= GROWTH
 
 

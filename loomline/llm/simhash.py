@@ -143,8 +143,8 @@ def _masks(bits: int, most: int) -> Column:
     return F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(n).alias("n")) for m, n in some if n <= most])
 
 
-def link(fps: DataFrame, most: int = MOST_BITS, leaf: int = LEAF, step: int = STEP) -> DataFrame:
-    """From distinct fingerprints (column fp): links (a, b) whose components are those of all pairs at most `most` (0 to 2) bits apart."""
+def link(fps: DataFrame, most: int = MOST_BITS, leaf: int = LEAF, step: int = STEP, keep=written) -> DataFrame:
+    """From distinct fingerprints (column fp): links (a, b) whose components are those of all pairs at most `most` (0 to 2) bits apart. keep writes the tables that it reads."""
     n = fps.count()
     bits = min(64, max(0, (max(n, 1) // max(1, leaf // 2)).bit_length()))
     members = fps.select("fp", _prefix(F.col("fp"), bits).alias("cell"))
@@ -156,7 +156,7 @@ def link(fps: DataFrame, most: int = MOST_BITS, leaf: int = LEAF, step: int = ST
         queries = queries.where("spent > 0").join(sizes.withColumnRenamed("cell", "c"), F.col("cell") == F.col("c")).drop("c")
         members = members.join(sizes, "cell")
         full = (F.col("size") > leaf) & F.lit(bits < 64)
-        rows = written(members.select("fp", "cell", "size", F.lit(True).alias("member"), F.lit(0).alias("spent")).unionByName(queries.select("fp", "cell", "size", F.lit(False).alias("member"), "spent")), "gray")
+        rows = keep(members.select("fp", "cell", "size", F.lit(True).alias("member"), F.lit(0).alias("spent")).unionByName(queries.select("fp", "cell", "size", F.lit(False).alias("member"), "spent")), "gray")
         done.append(rows.where(~full).select("fp", F.concat_ws("/", F.lit(bits), "cell").alias("cell"), "member"))
         again = rows.where(full)
         if bits >= 64 or again.limit(1).count() == 0:

@@ -2,10 +2,12 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import documents, edge_rows
 from tests.llm.test_suffix_dedup import prose
 
 from loomline.llm import near_copies
+from loomline.llm.common import row_key
 
 
 def brute_set(text):
@@ -75,3 +77,22 @@ def test_pipeline_takes_near_copies_out(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()}
     assert len(pairs) >= 30 and not kept & set(pairs)
     assert len(kept & set(range(1000, 1040))) == 1 and kept & set(range(2000, 2012)) == {2000}
+
+
+def test_fingerprints_find_the_closest_pairs_without_bands(spark):
+    """Within 2 bits and similar: linked by the Gray-order index alone; within 2 bits and unlike: not linked."""
+    rnd, rows, want = random.Random(5), [], set()
+    for k in range(40):
+        words = [f"p{k}w{j}" for j in range(400)]
+        rows += [(2 * k, " ".join(words), "a"), (2 * k + 1, " ".join(words[1:]), "a")]
+        x, y = (near_copies.fingerprint(near_copies.shingles(t)) for _, t, _ in rows[-2:])
+        if ((x ^ y) & (2**64 - 1)).bit_count() <= 2:
+            want.add((2 * k, 2 * k + 1))
+    texts = documents(spark, rows).select("doc_id", "text").withColumn("tkey", row_key())
+    sketch = texts.select("doc_id", "tkey", near_copies._sketch("text").alias("s")).select("doc_id", "tkey", "s.node", F.expr("array()").cast("array<bigint>").alias("bands"), "s.fp")
+    named = lambda x: {r.node: r.component for r in near_copies.link(x, texts).collect()}
+    of, found = {r.doc_id: r.node for r in sketch.collect()}, named(sketch)
+    assert len(want) >= 20 and all(found[of[a]] == found[of[b]] for a, b in want)
+    assert len({x for x in found.values()}) == len(want) == len(found) // 2
+    found = near_copies.link(sketch.withColumn("fp", F.lit(7).cast("long")), texts)  # all in one place of the index
+    assert found is None or found.count() == 2
