@@ -7,7 +7,7 @@ import pytest
 from tests.llm.helpers import documents, edge_rows
 from tests.llm.test_token_files import ODD
 
-from loomline.llm.bpe_tree import LEAF, TreeEncoder, encode_texts
+from loomline.llm.bpe_tree import AMPLE, LEAF, LEAN, TreeEncoder, encode_texts
 from loomline.llm.tokens import load
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -64,3 +64,9 @@ def test_rows(spark):
         want.append((i, len(ids), ids, tok.decode(ids, skip_special_tokens=False)))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert encode_texts(documents(spark, []), WORD).count() == 0
+
+
+def test_sizes_of_batches_and_memo_change_nothing(spark):
+    docs = documents(spark, edge_rows())
+    rows = lambda size: sorted(map(repr, encode_texts(docs, WORD, digest=True, size=size).collect()))
+    assert rows(AMPLE) == rows(LEAN) == rows((1000, 50, *LEAN[2:]))
