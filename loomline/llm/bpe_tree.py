@@ -29,8 +29,8 @@ from loomline.llm.tokens import PieceEncoder, array_of, bytes_of, load
 
 #: Characters of a text beyond which its leaves are rows; most bytes of a leaf inside a task; bytes of the first window on each side.
 SPLIT, LEAF, WINDOW = 65_536, 512, 64
-#: Bytes of texts that go up their trees together, and pieces that a worker's memo holds: lean beside other work, and where encoding is all the work.
-LEAN, AMPLE = (1 << 20, 200_000), (1 << 22, 600_000)
+#: Bytes of texts that go up their trees together, and pieces that a memo holds, and whether it outlasts its task: lean beside other work, and where encoding is all the work.
+LEAN, AMPLE = (1 << 20, 200_000, False), (1 << 22, 600_000, True)
 
 Tokens = tuple[np.ndarray, np.ndarray]  # ids, and where each starts, in bytes
 
@@ -38,8 +38,8 @@ Tokens = tuple[np.ndarray, np.ndarray]  # ids, and where each starts, in bytes
 class TreeEncoder:
     """Encodes texts by their trees. joins and redone count the joins made, and the windows encoded beyond each join's first."""
 
-    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, room: int = LEAN[1]):
-        self.flat, self.leaf, self.window = PieceEncoder(path, places=True, room=room), leaf, window
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, room: int = LEAN[1], lasting: bool = True):
+        self.flat, self.leaf, self.window = PieceEncoder(path, places=True, room=room, lasting=lasting), leaf, window
         self.joins = self.redone = 0
 
     def encode(self, text: pa.Array) -> list[Tokens]:
@@ -126,12 +126,12 @@ _SCHEMAS = {True: "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256
 _TYPES = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, split: int = SPLIT, size: tuple[int, int] = LEAN) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, split: int = SPLIT, size: tuple[int, int, bool] = LEAN) -> DataFrame:
     """doc_id, n_tokens, ids and decoded of every row; with digest, the sha256 of the decimal ids and of the decoded text instead of both."""
-    rows, (together, room) = texts(docs, id_col, text_col), size
+    rows, (together, room, lasting) = texts(docs, id_col, text_col), size
 
     def short(batches):
-        tree, reader = TreeEncoder(tokenizer, room=room), Reader(tokenizer, digest)
+        tree, reader = TreeEncoder(tokenizer, room=room, lasting=lasting), Reader(tokenizer, digest)
         for batch in merged(batches, "text", together):
             runs = [ids for ids, _ in tree.encode(batch["text"])]
             for k in range(0, len(runs), 256):
@@ -146,7 +146,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i] * n, pa.int64()), "tkey": pa.array([key] * n, pa.int64()), "part": pa.array(range(n), pa.int64()), "parts": pa.array([n] * n, pa.int64()), "text": pa.array([text[a:b] for a, b in zip(at, at[1:])], pa.string())})
 
     def leaf(batches):
-        tree = TreeEncoder(tokenizer, room=room)
+        tree = TreeEncoder(tokenizer, room=room, lasting=lasting)
         for batch in merged(batches, "text", together):
             done = tree.encode(batch["text"])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[c] for x in done], pa.list_(pa.int32())) for c in (0, 1))], names=[*batch.schema.names, "ids", "starts"])

@@ -98,11 +98,11 @@ def cut_pieces(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarr
 
 
 class PieceEncoder:
-    """Texts to ids, with a memo of pieces that is halved when it holds `room` of them; with places, also where each token starts, in bytes (of the character that it starts in)."""
+    """Texts to ids, with a memo of pieces that is halved when it holds `room` of them; with places, also where each token starts, in bytes (of the character that it starts in). The memo outlasts the task if lasting."""
 
-    def __init__(self, path: str, places: bool = False, room: int = 600_000, long_piece: int = 256):
+    def __init__(self, path: str, places: bool = False, room: int = 600_000, long_piece: int = 256, lasting: bool = True):
         self.path, self.tok, self.places, self.room, self.long_piece = path, load(path), places, room, long_piece
-        self.memo, self.marks = _memo(path, places), _marks(path)
+        self.memo, self.marks = _memo(path, places) if lasting else {}, _marks(path)
 
     def _pack(self, ids: list[int], starts: list[int]) -> bytes:
         out = array("I", [x for pair in zip(ids, starts) for x in pair] if self.places else ids)
