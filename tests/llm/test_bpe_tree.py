@@ -70,3 +70,9 @@ def test_sizes_of_batches_and_memo_change_nothing(spark):
     docs = documents(spark, edge_rows())
     rows = lambda size: sorted(map(repr, encode_texts(docs, WORD, digest=True, size=size).collect()))
     assert rows(AMPLE) == rows(LEAN) == rows((1000, 50, *LEAN[2:]))
+
+
+def test_lean_memo_ends_with_its_task():
+    lean, text = TreeEncoder(WORD, lasting=LEAN[2]), pa.array(["hello world " * 100, ""])
+    assert [x[0].tolist() for x in lean.encode(text)] == [x[0].tolist() for x in TreeEncoder(WORD).encode(text)]
+    assert lean.flat.memo and lean.flat.memo is not TreeEncoder(WORD).flat.memo
