@@ -7,9 +7,10 @@ compared, one text each is read again for its shingles, so that no other text's
 similarity (of the sets of 64-bit digests) suffices are linked. A pair at 0.8 shares no band with a probability
 of 7 in 100,000, closer pairs far more seldom.
 
-A bucket of few nodes compares all its pairs. A larger one compares some of its nodes with all others, four times as
-many in each round, and never two that are linked already: so a large group of near copies is done after a round or
-two, without its pairs, and no pair of a bucket is left out.
+A bucket of few nodes compares all its pairs. A larger one is dealt into parts, and a task compares the nodes of a part, but
+never two that it has linked already. After one component search, the nodes of a bucket that are outside its largest
+component are compared with all nodes of its other parts, again part by part. So texts travel once for each part that
+they meet, not once for each pair, a group of near copies that its parts link is done without its pairs, and no pair of a bucket is left out.
 
 Null and empty texts and texts without words are one node. Texts of fewer than WIDTH words are one shingle.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ from loomline.session import Scratch, written
 WIDTH, SEED = 5, 42
 #: Hashes, and minima of each that have to agree.
 BANDS, BAND = 24, 5
-#: A bucket of at most this many nodes compares all pairs at once; what a larger one compares grows by so many times from round to round.
-SMALL, GROWTH = 6, 4
+#: A bucket of at most this many nodes compares all pairs at once; a part of a larger one holds about so many shingles.
+SMALL, PART = 6, 16_384
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND), np.int64).astype(np.uint64)
 _FLIP, _TIMES = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
@@ -88,8 +90,8 @@ def _shingles(text: pa.Array) -> pa.Array:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose sets (node, shingles) are similar enough: i / (m + n - i) >= 0.8."""
-    sized = sets.select("node", F.size("shingles").alias("n"))
+    """Of pairs (a, b) of nodes, those whose sets (node, shingles, n) are similar enough: i / (m + n - i) >= 0.8."""
+    sized = sets.select("node", "n")
     both = pairs.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     both = both.where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
     both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -105,9 +107,49 @@ def _close(rows: DataFrame, held: Scratch) -> DataFrame:
     return held.written(linked.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-close")
 
 
-def _labelled(live: DataFrame, found: DataFrame) -> DataFrame:
-    label = found.withColumnsRenamed({"node": "of", "component": "is"})
-    return live.join(label, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("is", "node").alias("component"))
+def _meet(rows: pa.Table) -> pa.Table:
+    """Links (a, b) between components by similar pairs of rows (component, asks, shingles): those that ask are compared with all others, but never two that are linked already."""
+    sets = rows["shingles"].combine_chunks()
+    n = pc.list_value_length(sets).to_numpy().astype(np.int64)
+    starts = np.cumsum(n) - n
+    known, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    names = rows["component"].combine_chunks().dictionary_encode()
+    own = names.indices.to_numpy()
+    now, mark, a, b = own.copy(), np.zeros(len(known), bool), [], []
+    for r in np.flatnonzero(rows["asks"].to_numpy()):
+        apart = now != now[r]
+        if not apart.any():
+            continue
+        mine = codes[starts[r] : starts[r] + n[r]]
+        mark[mine] = True
+        shared = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+        mark[mine] = False
+        near = np.flatnonzero(apart & (9 * shared >= 4 * (n + n[r])))
+        met, first = np.unique(now[near], return_index=True)
+        a += [own[r]] * len(met)
+        b += own[near[first]].tolist()
+        now[np.isin(now, met)] = now[r]
+    return pa.table({"a": names.dictionary.take(pa.array(a, pa.int64())), "b": names.dictionary.take(pa.array(b, pa.int64()))})
+
+
+def _across(many: DataFrame, sets: DataFrame, found: DataFrame | None, held: Scratch) -> DataFrame:
+    """Links (a, b) between components that pairs of nodes in different parts of a bucket show, from buckets (key, node, part, parts)."""
+    live = many.where("parts > 1")
+    if found is None:
+        live = live.withColumn("component", F.col("node"))
+    else:
+        live = live.join(found.withColumnsRenamed({"node": "of", "component": "is"}), F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("is", "node")).drop("of", "is")
+    counts = live.groupBy("key", "component").agg(F.count("*").alias("m"))
+    # a bucket whose nodes are all linked is done
+    largest = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("apart")).where("apart > 1").select("key", F.col("most.component").alias("most"))
+    live = live.join(largest, "key").join(sets.select("node", "n"), "node").withColumn("out", F.col("component") != F.col("most"))
+    groups = live.where("out").groupBy("key").agg(F.ceil(F.sum("n") / PART).alias("groups"))
+    live = held.written(live.join(groups, "key").select("key", "node", "component", "part", "parts", "out", "groups"), "copies-apart")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = live.where("out").select("key", "node", "component", F.pmod(F.xxhash64("node"), "groups").alias("group"), each("parts").alias("part"), F.lit(True).alias("asks"))
+    asked = live.select("key", "node", "component", each("groups").alias("group"), "part", F.lit(False).alias("asks"))
+    both = asking.unionByName(asked).join(sets.select("node", "shingles"), "node").drop("node")
+    return held.written(both.groupBy("key", "group", "part").applyInArrow(_meet, "a binary, b binary").distinct(), "copies-edges")
 
 
 def link(rows: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFrame | None:
@@ -115,42 +157,33 @@ def link(rows: DataFrame, texts: DataFrame, small: int = SMALL) -> DataFrame | N
     found = None
     with Scratch(rows.sparkSession) as held:
         live = rows.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
-        shared = live.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-        live = held.written(live.join(shared, "key").select("key", "node", F.col("node").alias("component")), "copies-buckets")
+        shared = live.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        live = held.written(live.join(shared, "key"), "copies-buckets")
         one = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tkey")).alias("r")
         close = _close(rows, held)
         met = live.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
         reps = rows.join(met, "node", "left_semi").groupBy("node").agg(one).select("node", F.col("r.doc_id").alias("r_id"), F.col("r.tkey").alias("r_tkey"))
         reps = if_small(held.written(reps, "copies-read"), BROADCAST)
         read = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_tkey"))).select("node", "text")
-        met = held.written(read.dropDuplicates(["node"]).select("node", _shingles("text").alias("shingles")), "copies-sets")
-        edges, parts, old = held.written(_similar(close, met), "copies-edges"), 1, held
+        sets = read.dropDuplicates(["node"]).select("node", _shingles("text").alias("shingles"))
+        sets = held.written(sets.withColumn("n", F.size("shingles")), "copies-sets")
+        few = live.where(F.col("m") <= small)
+        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+        pairs = held.written(pairs.unionByName(close).distinct(), "copies-pairs")
+        many = live.where(F.col("m") > small).select("key", "node")
+        parts = many.join(sets.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.sum("n") / PART).alias("parts"))
+        many = held.written(many.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), "parts")), "copies-many")
+        inside = many.join(sets.select("node", "shingles"), "node").select("key", "part", F.col("node").alias("component"), F.lit(True).alias("asks"), "shingles")
+        inside = inside.groupBy("key", "part").applyInArrow(_meet, "a binary, b binary")
+        edges = held.written(_similar(pairs, sets).unionByName(inside), "copies-edges")
         if edges.limit(1).count():
             found = components(edges, "copies")
-            live = _labelled(live, found)
-        while True:
-            new = Scratch(rows.sparkSession)
-            # a bucket whose nodes are all linked is done
-            sizes = live.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "m")
-            live = new.written(live.join(sizes, "key"), "copies-live")
-            if old is not held:
-                old.drop()
-            old = new
-            if live.limit(1).count() == 0:
-                new.drop()
-                return found
-            few, many = live.where(F.col("m") <= small), live.where(F.col("m") > small)
-            part = F.pmod(F.xxhash64("node"), F.lit(parts))
-            first = new.written(many.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "component")).alias("r")).select("key", F.col("r.node").alias("a"), F.col("r.component").alias("ca")), "copies-first")
-            one = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).unionByName(first)
-            pairs = one.join(live, "key").where((F.col("a") != F.col("node")) & (F.col("ca") != F.col("component")))
-            pairs = new.written(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "copies-pairs")
-            links = held.written(_similar(pairs, met), "copies-edges")
-            edges = edges.unionByName(links)
-            found = components(edges, "copies")
-            left = many.drop("component", "m").join(first.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-            live = _labelled(left, found)
-            parts *= GROWTH
+        across = _across(many, sets, found, held)
+        if across.limit(1).count():
+            if found is not None:
+                across = across.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            found = components(across, "copies")
+    return found
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, held: Scratch | None = None) -> DataFrame:

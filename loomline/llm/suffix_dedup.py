@@ -250,17 +250,21 @@ def covered(n: int, spans: list[dict] | None, length: int = LENGTH) -> np.ndarra
 _OUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
 
 
+def _without(raw: bytes, gone: np.ndarray) -> bytes:
+    kept, at = [], 0
+    for a, b in gone.tolist():
+        kept.append(raw[at:a])
+        at = b
+    return b"".join([*kept, raw[at:]])
+
+
 def _cut(digest: bool, length: int):
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
         for x, s in zip(text.to_pylist(), spans.to_pylist()):
             raw = (x or "").encode("utf-8", "surrogatepass")
             gone = covered(len(raw), s, length) if s else np.zeros((0, 2), np.int64)
-            kept, at = [], 0
-            for a, b in gone.tolist():
-                kept.append(raw[at:a])
-                at = b
-            whole = b"".join([*kept, raw[at:]])
+            whole = _without(raw, gone)
             rows.append((len(raw), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(whole).hexdigest() if digest else None, None if digest else whole))
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -268,28 +272,36 @@ def _cut(digest: bool, length: int):
     return F.arrow_udf(cut, _OUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, length: int = LENGTH) -> DataFrame:
-    """docs with a struct column `repeats`: n_bytes, n_removed, n_spans and kept, the bytes that stay (with digest, their sha256 alone).
+def _cut_text(length: int):
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for x, s in zip(text.to_pylist(), spans.to_pylist()):
+            raw = x.encode("utf-8", "surrogatepass") if s else b""
+            gone = covered(len(raw), s, length) if s else ()
+            out.append(_without(raw, gone).decode("utf-8", "ignore") if len(gone) else None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(cut, T.StringType())
 
-    Texts are shuffled twice: to those of their runs that need cells, and to the spans found.
-    """
+
+def _spanned(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """row, text and spans of every document. Texts are shuffled twice: to those of their runs that need cells, and to the spans found."""
     packed = lean_batches(docs).select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tkey", row_key())
     spans = repeated_spans(packed.select("id", "text", "tkey"), length).groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("spans"))
     spans = spans.withColumnsRenamed({"id": "s_id", "tkey": "s_tkey"})
-    joined = packed.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("tkey") == F.col("s_tkey")), "left")
-    return joined.select("row", _cut(digest, length)("text", "spans").alias("repeats"))
+    return packed.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("tkey") == F.col("s_tkey")), "left")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with repeated bytes cut out of their texts; what a cut leaves of a character goes too. Null texts stay null."""
-    cut = remove_repeats(docs, id_col, text_col, length=length)
-    new = F.when(F.col("repeats.n_removed") > 0, _text("repeats.kept")).otherwise(F.col("row")[text_col])
-    return cut.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, length: int = LENGTH) -> DataFrame:
+    """docs with a struct column `repeats`: n_bytes, n_removed, n_spans and kept, the bytes that stay (with digest, their sha256 alone)."""
+    return _spanned(docs, id_col, text_col, length).select("row", _cut(digest, length)("text", "spans").alias("repeats"))
 
 
-@F.arrow_udf(T.StringType())
-def _text(kept: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs with repeated bytes cut out of their texts; what a cut leaves of a character goes too. Null texts stay null. One function in Python does it, so that a task holds one Python worker, not two."""
+    cut = _spanned(docs, id_col, text_col, length).select("row", _cut_text(length)("text", "spans").alias("new"))
+    new = F.coalesce("new", F.col("row")[text_col])
+    return cut.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,21 @@ def test_fingerprints_find_the_closest_pairs_without_bands(spark):
     assert len({x for x in found.values()}) == len(want) == len(found) // 2
     found = near_copies.link(sketch.withColumn("fp", F.lit(7).cast("long")), texts)  # all in one place of the index
     assert found is None or found.count() == 2
+
+
+def test_large_buckets_take_two_component_searches(spark, monkeypatch):
+    """A bucket of 150 texts of which many are unlike, in parts of some texts each: all pairs are compared, in two searches at most."""
+    rnd, searches, found = random.Random(6), [], near_copies.components
+    words = [f"g{j}" for j in range(120)]
+    rows = [(k, changed(rnd, words, 1 + k % 5), "b") for k in range(150)]
+    monkeypatch.setattr(near_copies, "components", lambda *x: searches.append(x) or found(*x))
+    monkeypatch.setattr(near_copies, "PART", 1000, raising=False)
+    texts = documents(spark, rows).select("doc_id", "text").withColumn("tkey", row_key())
+    sketch = texts.select("doc_id", "tkey", near_copies._sketch("text").alias("s")).select("doc_id", "tkey", "s.node", F.expr("array(1L, 2L)").alias("bands"), "s.fp")
+    of = {r.doc_id: r.node for r in sketch.collect()}
+    named = {r.node: r.component for r in near_copies.link(sketch, texts).collect()}
+    groups = {}
+    for k, node in of.items():
+        groups.setdefault(named.get(node, node), []).append((False, k))
+    assert sorted(min(g) for g in groups.values()) == brute_kept(rows)
+    assert 2 < len(groups) < 140 and len(searches) <= 2

@@ -82,3 +82,12 @@ def test_drop(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where("doc_id = 5").first().text is None
     assert drop_repeats(documents(spark, [])).count() == 0
+
+
+def test_drop_holds_one_worker_a_task(spark):
+    """The texts that remove_repeats leaves, by a single function in Python."""
+    docs = documents(spark, hard_rows())
+    out = drop_repeats(docs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = [None if r.row.text is None else r.repeats.kept.decode("utf-8", "ignore") for r in remove_repeats(docs).collect()]
+    assert sorted(map(repr, (r.text for r in out.collect()))) == sorted(map(repr, want))
