@@ -38,6 +38,8 @@ from loomline.session import Scratch, written
 
 LENGTH, GRAM, CELL = 400, 24, 32
 SIDE = CELL - 1
+#: Bytes of the shorter strings that the query counts beside those it removes: under what 50 words of short words take.
+PASSAGE = 256
 #: Bytes that one pass over a batch of texts takes; longer texts are taken in pieces, whose windows do not overlap.
 PIECE = 1 << 20
 #: Different surroundings of a core that one task takes, and cells of a task.
@@ -284,17 +286,63 @@ def _cut_text(length: int):
     return F.arrow_udf(cut, T.StringType())
 
 
-def _spanned(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """row, text and spans of every document. Texts are shuffled twice: to those of their runs that need cells, and to the spans found."""
+def _measured(length: int):
+    """Of a text's spans: the bytes that they cover, and the longest stretch of such bytes."""
+
+    def measure(spans: pa.Array) -> pa.Array:
+        found, longest = [], []
+        for some in spans.to_pylist():
+            end = max(s["lo"] if s["hi"] is None else s["hi"] for s in some) + CELL + length
+            sizes = np.diff(covered(end, some, length), axis=1)
+            found.append(int(sizes.sum()))
+            longest.append(int(sizes.max()))
+        return pa.StructArray.from_arrays([pa.array(found, pa.int64()), pa.array(longest, pa.int64())], ["n_repeated", "longest"])
+
+    return F.arrow_udf(measure, "n_repeated long, longest long")
+
+
+def _of_texts(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("spans"))
+
+
+def _with_texts(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left with what right holds on its id and tkey."""
+    right = right.withColumnsRenamed({"id": "s_id", "tkey": "s_tkey"})
+    return left.join(right, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("tkey") == F.col("s_tkey")), how).drop("s_id", "s_tkey")
+
+
+def _nested(docs: DataFrame, length: int, shorter: int) -> DataFrame:
+    """From rows (id, text, tkey): rows (id, tkey, n_repeated, spans), with the bytes in strings of `shorter` bytes that also start elsewhere, and the spans of those of `length` bytes.
+
+    Whatever is part of a string that repeats, repeats. So a repeated string of `length` bytes lies in a stretch of
+    repeated shorter ones, and only texts with such a stretch as long as that are searched for it.
+    """
+    if shorter > length:
+        raise ValueError(f"shorter strings of at most {length} bytes, not {shorter}")
+    with Scratch(docs.sparkSession) as held:
+        some = _of_texts(_spans(docs, shorter, held)).select("id", "tkey", _measured(shorter)("spans").alias("m"))
+        some = written(some.select("id", "tkey", "m.n_repeated", "m.longest"), "repeated-bytes")
+    with Scratch(docs.sparkSession) as held:
+        long = held.written(_with_texts(docs, some.where(F.col("longest") >= length), "left_semi"), "texts-with-repeats")
+        spans = repeated_spans(long, length)
+    return _with_texts(some.drop("longest"), _of_texts(spans), "left")
+
+
+def _spanned(docs: DataFrame, id_col: str, text_col: str, length: int, shorter: int | None = None) -> DataFrame:
+    """row, text and spans of every document, with `shorter` also n_repeated. For each length, texts are shuffled to those of their runs that need cells; once, they are to the spans found."""
     packed = lean_batches(docs).select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tkey", row_key())
-    spans = repeated_spans(packed.select("id", "text", "tkey"), length).groupBy("id", "tkey").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("spans"))
-    spans = spans.withColumnsRenamed({"id": "s_id", "tkey": "s_tkey"})
-    return packed.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("tkey") == F.col("s_tkey")), "left")
+    texts = packed.select("id", "text", "tkey")
+    return _with_texts(packed, _of_texts(repeated_spans(texts, length)) if shorter is None else _nested(texts, length, shorter), "left")
+
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, length: int = LENGTH, shorter: int | None = None) -> DataFrame:
+    """docs with a struct column `repeats`: n_bytes, n_removed, n_spans and kept, the bytes that stay (with digest, their sha256 alone).
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, length: int = LENGTH) -> DataFrame:
-    """docs with a struct column `repeats`: n_bytes, n_removed, n_spans and kept, the bytes that stay (with digest, their sha256 alone)."""
-    return _spanned(docs, id_col, text_col, length).select("row", _cut(digest, length)("text", "spans").alias("repeats"))
+    With `shorter`, also n_repeated: the text's bytes in strings of that many bytes that also start elsewhere. They are counted, not removed.
+    """
+    spanned = _spanned(docs, id_col, text_col, length, shorter)
+    counted = [] if shorter is None else [F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated")]
+    return spanned.select("row", _cut(digest, length)("text", "spans").alias("repeats"), *counted)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -305,6 +353,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; n_repeated_256, its bytes in strings of PASSAGE bytes that repeat, as passages of over 50 words do that are too short to be removed."""
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
-    return remove_repeats(docs, digest=True).select("row.doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
+    found = remove_repeats(docs, digest=True, shorter=PASSAGE)
+    return found.select("row.doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256", F.col("n_repeated").alias(f"n_repeated_{PASSAGE}"))

@@ -91,3 +91,29 @@ def test_drop_holds_one_worker_a_task(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     want = [None if r.row.text is None else r.repeats.kept.decode("utf-8", "ignore") for r in remove_repeats(docs).collect()]
     assert sorted(map(repr, (r.text for r in out.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("shorter", [56, 256, LENGTH])
+def test_shorter_strings_counted(spark, shorter):
+    """n_repeated against brute force; what is removed stays what its own length alone removes."""
+    rows = hard_rows()
+    docs = documents(spark, rows)
+    got = remove_repeats(docs, digest=True, shorter=shorter).selectExpr("row.doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256", "n_repeated").collect()
+    texts = [t for _, t, _ in rows]
+    want = [(i, *x, y[1]) for (i, _, _), x, y in zip(rows, brute(texts), brute(texts, shorter))]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    with pytest.raises(ValueError):
+        remove_repeats(docs, shorter=LENGTH + 1)
+
+
+def test_query_tells_passages_of_over_50_words(spark, tmp_path):
+    """A shared passage of 51 words and under 400 bytes: left in place, as the contract asks, but told."""
+    rnd = random.Random(5)
+    passage = " ".join("".join(rnd.choice("abcde") for _ in range(5)) for _ in range(51))
+    rows = [(1, f"{prose(rnd, 80)} {passage} {prose(rnd, 90)}", "a"), (2, f"{prose(rnd, 70)} {passage} {prose(rnd, 60)}", "a"), (3, prose(rnd, 200), "a"), (4, None, "b")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(passage) < LENGTH
+    assert [got[k].n_removed for k in (1, 2, 3, 4)] == [0, 0, 0, 0]
+    assert got[1].n_repeated_256 == got[2].n_repeated_256 == len(passage) + 2  # and the spaces around it
+    assert got[3].n_repeated_256 == got[4].n_repeated_256 == 0
