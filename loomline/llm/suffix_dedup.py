@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -290,13 +291,21 @@ def _measured(length: int):
     """Of a text's spans: the bytes that they cover, and the longest stretch of such bytes."""
 
     def measure(spans: pa.Array) -> pa.Array:
-        found, longest = [], []
-        for some in spans.to_pylist():
-            end = max(s["lo"] if s["hi"] is None else s["hi"] for s in some) + CELL + length
-            sizes = np.diff(covered(end, some, length), axis=1)
-            found.append(int(sizes.sum()))
-            longest.append(int(sizes.max()))
-        return pa.StructArray.from_arrays([pa.array(found, pa.int64()), pa.array(longest, pa.int64())], ["n_repeated", "longest"])
+        flat, n = spans.flatten(), len(spans)
+        own = np.repeat(np.arange(n), pc.list_value_length(spans).to_numpy())
+        lo, mask = flat.field("lo").to_numpy(), flat.field("mask").fill_null(1).to_numpy()
+        hi = pc.coalesce(flat.field("hi"), flat.field("lo")).to_numpy()
+        # the windows of a cell overlap, so that those of its lowest and highest bit bound what they cover
+        low, high = (np.frexp(x.astype(np.float64))[1] - 1 for x in (mask & -mask, mask))
+        start, end = (own << 40) + lo + low, (own << 40) + hi + high + length
+        order = np.argsort(start)
+        own, start, end = own[order], start[order], np.maximum.accumulate(end[order])
+        new = np.concatenate([[True], start[1:] > end[:-1]])[: len(own)]
+        own, sizes = own[new], end[np.concatenate([new[1:], [True]])[: len(own)]] - start[new]
+        found, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.add.at(found, own, sizes)
+        np.maximum.at(longest, own, sizes)
+        return pa.StructArray.from_arrays([pa.array(found), pa.array(longest)], ["n_repeated", "longest"])
 
     return F.arrow_udf(measure, "n_repeated long, longest long")
 
