@@ -9,7 +9,8 @@ at most as many as letters (90 here), however many words there are; in a run of
 is skipped to delete it, so a pair of words meets once.
 
 Counts are taken in the tasks that read the texts and added up by word; short words are dropped before. The nodes of up to
-two letters, which many words share, are broadcast (at most 1 + 90 + 8,100 of them); the others are joined. Roots are found by pointer
+two letters, which many words share, are broadcast (at most 1 + 90 + 8,100 of them); the others are joined by merging, as Spark sizes
+what is exploded from a small table of words like that table, and would broadcast it. Roots are found by pointer
 doubling: a form has at least `ratio` times the occurrences of its word, so a chain of forms is short.
 
 Null texts have no words; a null id counts as an empty string. Repeated rows count again. Very long runs of letters are
@@ -80,7 +81,7 @@ def _numbered(rows: DataFrame, part: str, node: str, tables: Scratch) -> DataFra
     """rows with a number for each distinct string in `part`, instead of it."""
     nodes = tables.written(rows.select(part).distinct().select(part, F.monotonically_increasing_id().alias(node)), node)
     few = F.length(part) <= SHALLOW
-    return rows.where(few).join(F.broadcast(nodes.where(few)), part).unionByName(rows.where(~few).join(nodes.where(~few), part)).drop(part)
+    return rows.where(few).join(F.broadcast(nodes.where(few)), part).unionByName(rows.where(~few).join(nodes.where(~few).hint("merge"), part)).drop(part)
 
 
 def node_pairs(words: DataFrame, tables: Scratch) -> DataFrame:
@@ -99,10 +100,10 @@ def neighbours(words: DataFrame, tables: Scratch) -> DataFrame:
     key = ["before", "behind"]
     skipped = pairs.where("skips").select(*key, "word", "n", "first")
     other = pairs.where("skips").select(*key, F.col("word").alias("near"), F.col("n").alias("near_n"))
-    replaced = skipped.join(other, key).where("word <> near").select("word", "near", "near_n")
+    replaced = skipped.join(other.hint("merge"), key).where("word <> near").select("word", "near", "near_n")
     longer = skipped.where("first").withColumnsRenamed({"word": "long", "n": "long_n"})
     shorter = pairs.where("not skips").select(*key, F.col("word").alias("short"), F.col("n").alias("short_n"))
-    inserted = longer.join(shorter, key)
+    inserted = longer.join(shorter.hint("merge"), key)
     ways = F.array(F.struct(F.col("long").alias("word"), F.col("short").alias("near"), F.col("short_n").alias("near_n")), F.struct(F.col("short").alias("word"), F.col("long").alias("near"), F.col("long_n").alias("near_n")))
     return replaced.unionByName(inserted.select(F.inline(ways)))
 
@@ -112,16 +113,16 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     with Scratch(words.sparkSession) as tables:
         near = neighbours(words, tables).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
         takes = -F.col("best.less") >= ratio * F.col("n")
-        told = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(takes, F.col("best.near")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n"))
+        told = words.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(takes, F.col("best.near")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n"))
         told = written(told, "forms")
         links = tables.written(told.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
         while True:
             further = links.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-            links = tables.written(links.join(further, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
+            links = tables.written(links.join(further.hint("merge"), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
             if not links.where("moved").head(1):
                 break
             links = links.drop("moved")
-        out = told.join(links.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        out = told.join(links.select("word", "root").hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
         return written(out, "variants")
 
 

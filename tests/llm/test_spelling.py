@@ -116,3 +116,15 @@ def test_query(spark, tmp_path):
     assert got == sorted(con.sql(S.ORACLE).project("word, form, root, n, n_near, form_n").fetchall(), key=repr)
     kept = {w: n for w, n in counted(rows, S.LETTERS).items() if n >= S.TIMES}
     assert got == sorted(brute(kept, S.RATIO), key=repr)
+
+
+def test_only_nodes_of_few_letters_are_broadcast(spark):
+    def joins(df):
+        plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        return plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")
+
+    with Scratch(spark) as tables:
+        words = tables.written(spark.range(400).selectExpr("concat('word', id) AS word", "id AS n"), "words")  # a small table, which Spark would broadcast with all that is exploded from it
+        rows = words.selectExpr("word", "explode(sequence(0, length(word))) AS at").selectExpr("word", "substring(word, 1, at) AS prefix")
+        assert joins(S._numbered(rows, "prefix", "before", tables)) == (1, 1)
+        assert joins(S.neighbours(words, tables)) == (0, 2)
