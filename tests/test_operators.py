@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from loomline.sources import sinks
@@ -33,3 +35,19 @@ def test_a_sparse_matrix_can_be_read_back(spark):
     assert sorted((a - 1, b - 1, w) for a, b, w in entries) == sorted(rows)
     none = sinks.matrix_market_lines(spark.createDataFrame([], "src long, dst long, weight double"))
     assert [r.value for r in none.collect()][1] == "0 0 0"
+
+
+def test_closure_joins_no_pair_again(spark, monkeypatch):
+    rnd = random.Random(11)
+    edges = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(45)] + [(k, k + 1) for k in range(100, 180)] + [(7, 7), (200, 201), (201, 202), (202, 200), (None, 5), (3, None)]
+    want = set(edges)
+    while True:
+        more = want | {(a, d) for a, b in want if b is not None for c, d in edges if b == c}
+        if more == want:
+            break
+        want = more
+    told, path = [], graphs.scratch
+    monkeypatch.setattr(graphs, "scratch", lambda s, label: told.append(path(s, label)) or told[-1])
+    got = [tuple(r) for r in graphs.closure(spark.createDataFrame(edges, "src long, dst long")).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sum(spark.read.parquet(x).count() for x in told) == len(want)  # each pair is written once
