@@ -51,3 +51,16 @@ def test_closure_joins_no_pair_again(spark, monkeypatch):
     got = [tuple(r) for r in graphs.closure(spark.createDataFrame(edges, "src long, dst long")).collect()]
     assert set(got) == want and len(got) == len(want)
     assert sum(spark.read.parquet(x).count() for x in told) == len(want)  # each pair is written once
+
+
+def test_nearest_compares_in_products_of_matrices(spark, monkeypatch):
+    monkeypatch.setattr(joins, "QUERIES", 7)
+    rnd = random.Random(5)
+    points = [(k, [rnd.choice([0.1, 0.2, 0.7, 1e4]) for _ in range(6)]) for k in range(900)] + [(k + 1000, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]) for k in range(30)]
+    odd = [(2000, None), (2001, [0.1, None, 0.1, 0.1, 0.1, 0.1]), (2002, [float("nan")] * 6)]
+    df = spark.createDataFrame(points + odd, "id long, v array<float>").repartition(3)
+    queries = df.where("id % 50 = 0 OR id = 2001")
+    plain = {tuple(r) for r in joins._nearest(queries, df, 5).collect()}
+    monkeypatch.setattr(joins, "_nearest", lambda q, p, k, f=joins._nearest: f(q.where("id = 2001 OR id = 2000"), p, k))  # only for what is not finite
+    got = [tuple(r) for r in joins.nearest(queries, df, 5).collect()]
+    assert set(got) == plain and len(got) == len(plain) == 5 * queries.count()
