@@ -64,3 +64,16 @@ def test_nearest_compares_in_products_of_matrices(spark, monkeypatch):
     monkeypatch.setattr(joins, "_nearest", lambda q, p, k, f=joins._nearest: f(q.where("id = 2001 OR id = 2000"), p, k))  # only for what is not finite
     got = [tuple(r) for r in joins.nearest(queries, df, 5).collect()]
     assert set(got) == plain and len(got) == len(plain) == 5 * queries.count()
+
+
+def test_interval_join_leaves_out_what_nothing_can_meet(spark):
+    rnd = random.Random(2)
+    near = [(k, k % 3, s := rnd.randrange(100), s + rnd.randrange(12)) for k in range(60)]
+    left = spark.createDataFrame(near + [(k, 0, 5000 + k, 5009 + k) for k in range(100, 400)] + [(999, 1, None, 4)], "a long, k long, s long, e long")
+    right = spark.createDataFrame([(b, k, s + 3, e + 3) for b, k, s, e in near], "b long, k long, s2 long, e2 long")
+    both = joins.interval_join(left, right, "s", "e", "s2", "e2", 16, ["k"])
+    want = sorted((x[0], y[0]) for x in near for y in near if x[1] == y[1] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] + 3 and y[2] + 3 < x[3])
+    assert sorted((r.a, r.b) for r in both.collect()) == want
+    last = max(e + 3 for _, _, s, e in near if s < e)
+    assert f"< {last})" in both._jdf.queryExecution().optimizedPlan().toString() and "BroadcastHashJoin" not in both._jdf.queryExecution().toString()
+    assert joins.interval_join(left, right.where("false"), "s", "e", "s2", "e2", 16, ["k"]).count() == 0
