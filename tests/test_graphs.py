@@ -194,3 +194,20 @@ def test_lists(spark):
     assert {tuple(r) for r in got.select("id", "last", "one", "own").collect()} == {(k, k // 10 * 10 + 9, 10 - k % 10, sum(range(k, k // 10 * 10 + 10))) for k in range(40)}
     with pytest.raises(ValueError):
         trees.list_ranks(spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "id long, to long, one int"), ["one"])
+
+
+def test_a_forest_is_rooted_and_numbered_by_one_tour(spark, monkeypatch):
+    ranked, ranks = [], trees.list_ranks
+    monkeypatch.setattr(trees, "list_ranks", lambda *a: ranked.append(1) or ranks(*a))
+    forest = [(1, 2), (1, 3), (3, 4), (3, 9), (9, 5), (20, 30), (30, 25), (7, 8)]
+    rows = {r.node: r for r in trees.rooted(edges_of(spark, forest)).collect()}
+    assert {n: r.parent for n, r in rows.items()} == {1: None, 2: 1, 3: 1, 4: 3, 9: 3, 5: 9, 20: None, 30: 20, 25: 30, 7: None, 8: 7}
+    assert sorted(r.pre for r in rows.values()) == list(range(11)) and len(ranked) == 1
+    for n, r in rows.items():
+        below = {m for m in rows if m == n}
+        while True:
+            more = below | {m for m in rows if rows[m].parent in below}
+            if more == below:
+                break
+            below = more
+        assert sorted(rows[m].pre for m in below) == list(range(r.pre, r.pre + r.size)), n
